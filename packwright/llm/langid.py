@@ -17,6 +17,8 @@ SEED = 20_240_229
 #: Documents whose n-gram counts are multiplied by the n-gram vectors at once.
 BLOCK = 128
 UNKNOWN = "und"
+#: Cosine with its prototype under which a text counts as in none of the languages.
+LEAST_COSINE = 0.05
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -133,3 +135,19 @@ def identify(documents: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.transform(map_pandas, predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(documents: DataFrame, train: DataFrame | None = None, least: float = LEAST_COSINE) -> DataFrame:
+    """The rows of documents whose language is not "und" and whose cosine is at least `least`, all columns as they are.
+
+    Where nothing was learned, nothing is rejected. Rows are judged where they are, so no text is shuffled."""
+    langs, prototypes = learn_prototypes(documents if train is None else train)
+    if not langs:
+        return documents
+
+    @F.pandas_udf("double")
+    def cosine(text: pd.Series) -> pd.Series:
+        vectors = bundle(list(text))
+        return pd.Series(np.where(vectors.any(axis=1), (vectors @ prototypes.T).max(axis=1), -1.0))
+
+    return documents.where(cosine(F.col("text").cast("string")) >= least)

@@ -35,8 +35,8 @@ def pieces(documents: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, e
         encoder, end = Encoder.of(tokenizer), np.uint32(end_id).tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].array, b["text"], strict=True):
-                ids = encoder.encode(text or "") + end
+            for doc, ids in zip(b["doc_id"].array, encoder.encode_many([t or "" for t in b["text"]]), strict=True):
+                ids += end
                 n = len(ids) // 4
                 at = cut_points(n, max_tokens)
                 for k, (s, e) in enumerate(zip(at, [*at[1:], n], strict=True)):

@@ -122,6 +122,32 @@ def class_moments(stats: DataFrame, labels: DataFrame) -> dict[int, tuple[float,
     return {k: (total[k, 0], total[k, 1 : d + 1], total[k, d + 1 :].reshape(d, d)) for k in (0, 1)}
 
 
+def fit_model(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant | None]:
+    """The statistics of all documents, in the shared folder, and the model."""
+    stats = materialize(with_statistics(documents), "statistics")
+    return stats, Discriminant.fit(class_moments(stats, labels))
+
+
+def scores(model: Discriminant | None, x: np.ndarray) -> np.ndarray:
+    """Probability of class 1; 0.5 without a model."""
+    return np.full(len(x), 0.5) if model is None else 1 / (1 + np.exp(-np.clip(model.log_odds(x), -50, 50)))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that score at least `least`, all columns as they are.
+
+    Without a model nothing is rejected. Rows are scored where they are, so no text is shuffled."""
+    _, model = fit_model(documents, labels)
+    if model is None:
+        return documents
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(scores(model, np.array([statistics(t) for t in text]).reshape(-1, len(STATISTICS))))
+
+    return documents.where(score(F.col("text").cast("string")) >= least)
+
+
 def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of documents.
 
@@ -129,13 +155,12 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     fitted on those of all labelled rows that aren't held out, and scores every row.
     Null and empty texts are scored by their statistics like others, equal texts
     alike; a null doc_id is scored and not held out. Without labels of both classes every score is 0.5. Other columns are left out."""
-    stats = materialize(with_statistics(documents), "statistics")
-    model = Discriminant.fit(class_moments(stats, labels))
+    stats, model = fit_model(documents, labels)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.stack(b["stats"].to_numpy()) if len(b) else np.zeros((0, len(STATISTICS)))
-            s = np.full(len(b), 0.5) if model is None else 1 / (1 + np.exp(-np.clip(model.log_odds(x), -50, 50)))
+            s = scores(model, x)
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
 
     return stats.withColumn("held_out", held_out()).select("doc_id", "held_out", "stats").transform(map_pandas, score, "doc_id long, held_out boolean, score double, predicted int")

@@ -52,8 +52,8 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, dtype: str,
         name, docs, ends, out = uuid.uuid4().hex, [], [0], None
         for b in batches:
             out = out or fs.open_output_stream(f"{base}/{name}.bin")
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.frombuffer(encoder.encode(text or ""), "<u4")
+            for doc, said in zip(b["doc_id"], encoder.encode_many([t or "" for t in b["text"]]), strict=True):
+                ids = np.frombuffer(said, "<u4")
                 if len(ids) and ids.max() > limit:
                     raise ValueError(f"token id {ids.max()} does not fit {dtype}")
                 out.write(ids.astype(dtype).tobytes() + end)

@@ -3,23 +3,46 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 #: Chunks that one generation of a worker's cache holds; two generations live at once.
-CACHE_CHUNKS = 250_000
-#: White space other than the single blank and the line feed: texts with it are encoded whole.
-ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+CACHE_CHUNKS = 400_000
+#: Characters that Python and the library may class differently as white space, and the mark of a bare chunk: texts with one are encoded whole.
+UNSURE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "\u200b", "\ufeff")
+#: White space other than blank and line feed.
+OTHER_SPACE = ("\t", "\r", "\x0b", "\x0c", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+_CHUNK = re.compile(r"\s*\S+|\s+")
 _encoders: dict[str, Encoder] = {}
 
 
+def _holds(text: str, chars: tuple[str, ...]) -> bool:
+    ascii_only = text.isascii()
+    return any(c in text for c in chars if not ascii_only or c < "\x80")
+
+
+def chunk_keys(text: str) -> list[str]:
+    """The chunks of a text: a run of white space and the run of other characters after it.
+
+    As keys: the blank before a word is left out, a line feed stays, and a chunk of any other kind has a mark before it."""
+    if not (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _holds(text, OTHER_SPACE)):
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
+    keys = []
+    for c in _CHUNK.findall(text):
+        single = len(c) > 1 and not c[1].isspace()
+        keys.append(c[1:] if single and c[0] == " " else c if single and c[0] == "\n" else "\0" + c)
+    return keys
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    Byte-level and word BPE never join pieces over a blank that stands between two
-    characters that aren't white space. So a text may be cut before each such blank,
-    and each distinct chunk is encoded once. Texts where a blank touches other white
-    space, or which have composing marks, are encoded whole: the same ids either way."""
+    Both byte-level and word BPE start a new piece where white space starts, so the ids of a
+    text are those of its chunks, and each distinct chunk is encoded once. New ones are encoded as one text
+    and told apart by the offsets that the library gives."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,36 +59,33 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        known, missing = self.old, []
-        for c in chunks:
-            if c in known:
-                self.young[c] = known[c]
-            else:
-                missing.append(c)
-        self.young.update(zip(missing, self._encode(missing), strict=True))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or not _simple(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + c for c in rest]]
-        missing = {c for c in chunks if c not in self.young}
-        if missing:
-            if len(self.young) + len(missing) > CACHE_CHUNKS:
-                self.old, self.young = self.young, {}
-                missing = set(chunks)
-            self._learn(missing)
-        return b"".join(map(self.young.__getitem__, chunks))
-
-
-def _simple(text: str) -> bool:
-    """Only Latin letters and marks below U+0300 and no white space but blanks and line feeds."""
-    if text.isascii():
-        return not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-    return max(text) < "\u0300" and not any(c in text for c in ODD_SPACE)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        if len(self.young) + len(keys) > CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
+        made = {k: self.old[k] for k in keys if k in self.old}
+        made |= {k: self.whole(k[1:]) for k in keys if k not in made and k[0] == "\0"}
+        new = [k for k in keys if k not in made]
+        for at in range(0, len(new), 4096):
+            said = [k if k[0] == "\n" else " " + k for k in new[at : at + 4096]]
+            got = self.tokenizer.encode("".join(said), add_special_tokens=False)
+            ids, ends = np.array(got.ids, "<u4"), np.array([b for _, b in got.offsets])
+            cuts = np.searchsorted(ends, np.cumsum([0, *map(len, said)]), "right").tolist()
+            made.update((k, ids[a:b].tobytes()) for k, a, b in zip(new[at : at + 4096], cuts, cuts[1:], strict=False))
+        self.young.update(made)
+        return made
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        whole = {i: self.whole(t) for i, t in enumerate(texts) if _holds(t, UNSURE)}
+        keys = [chunk_keys(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        found = [list(map(self.young.get, k)) for k in keys]
+        missing = {k[j] for k, f in zip(keys, found, strict=True) if None in f for j, v in enumerate(f) if v is None}
+        made = self._learn(missing) if missing else {}
+        out = []
+        for i, (k, f) in enumerate(zip(keys, found, strict=True)):
+            if None in f:
+                f = [made[k[j]] if v is None else v for j, v in enumerate(f)]
+            out.append(whole[i] if i in whole else b"".join(f))
+        return out
