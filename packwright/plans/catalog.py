@@ -1,11 +1,531 @@
-"""Queries by name."""
+"""Every query by name, over the driver's tables, with the SQL that says what it returns.
+
+Stand-ins: a document is a file at source/lang/doc_id.txt, its words are its symbols; customers, nations and regions, and parts and suppliers, are graphs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packwright.functions import text as X
+from packwright.operators import chunks, domain, fuse, graph, lexical, maintain, vector
+from packwright.sources import files, sinks
+from packwright.streaming import sessions
+
+TERMS = ["erin", "thor", "onea", "reand"]
+PATH_TOKENS = ["src1", "docs", "en"]
+DOMAINS = ["src0", "src1", "de", "fr"]
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+#: Shared parts of the SQL.
+PATH = "concat(source, '/', lang, '/', doc_id, '.txt')"
+FILES = f"f AS (SELECT doc_id, {PATH} AS path, coalesce(text, '') AS text, lang, source FROM documents)"
+TERM_LIST = "list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+')), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, '[0-9]+'))"
+COSINE = "list_sum(list_transform(list_zip(e.v, q.v), lambda z: z[1] * z[2])) / ((sqrt(list_sum(list_transform(e.v, lambda a: a * a))) + 1e-8) * (sqrt(list_sum(list_transform(q.v, lambda a: a * a))) + 1e-8))"
+SEMANTIC = f"v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v FROM v WHERE vec_id = 0), c AS (SELECT e.vec_id, {COSINE} AS score FROM v e, q)"
+STRUCTURE = "p AS (SELECT path, length(text) / (SELECT sum(length(text)) FROM f)::DOUBLE AS score FROM f)"
+NORM = lambda t: f"SELECT path, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-9 THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM {t}"
+MERGED = f"{FILES}, {SEMANTIC}, {STRUCTURE}, s AS (SELECT f.path, c.score FROM c JOIN f ON f.doc_id = c.vec_id), sn AS ({NORM('s')}), pn AS ({NORM('p')}), m AS (SELECT coalesce(sn.path, pn.path) AS path, 0.6 * coalesce(sn.score, 0) + 0.4 * coalesce(pn.score, 0) AS score FROM sn FULL JOIN pn ON sn.path = pn.path)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def doc_path() -> Column:
+    return F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", doc_path().alias("path"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+
+
+def semantic(spark: SparkSession, sf: str, kind: str = "cosine") -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.where("id = 0").first()["vector"]
+    return vector.similarity(e, q, kind)
+
+
+def semantic_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return semantic(spark, sf).join(documents(spark, sf).select(F.col("doc_id").alias("id"), "path"), "id").select("path", "score")
+
+
+def structural(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = documents(spark, sf).select("path", F.length("text").alias("n"))
+    return sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").cast("double").alias("all")))).select("path", (F.col("n") / F.col("all")).alias("score"))  # one row
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    return fuse.merge(fuse.min_max(semantic_paths(spark, sf)), fuse.min_max(structural(spark, sf)))
+
+
+def rounded(df: DataFrame, column: str = "score", places: int = 6) -> DataFrame:
+    return df.withColumn(column, F.round(column, places))
+
+
+BM25 = f"""t AS (SELECT doc_id AS id, CASE WHEN len(x) > 0 THEN x ELSE [''] END AS x FROM (SELECT doc_id, {TERM_LIST} AS x FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))),
+n AS (SELECT count(*) AS n, avg(len(x)) AS avgdl FROM t), w AS (SELECT id, len(x) AS dl, unnest(x) AS term FROM t),
+i AS (SELECT term, ln(n.n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM w, n GROUP BY term, n.n),
+k AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i WHERE term IN ('erin', 'thor', 'onea', 'reand')),
+b AS (SELECT id, sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM w JOIN k USING (term), n GROUP BY id)"""
+
+
+def bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.bm25(documents(spark, sf).select(F.col("doc_id").alias("id"), "text"), TERMS)
+
+
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 10")
+def bm25_topk(spark, sf):
+    return rounded(lexical.top_k(bm25(spark, sf), 10))
+
+
+@query(r"""WITH p AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')), '[^a-z0-9]+'), lambda t: length(t) >= 2))) AS token FROM documents)
+SELECT token, count(*) AS n_docs FROM p GROUP BY token""")
+def tokenize_code(spark, sf):
+    return documents(spark, sf).select(F.explode(X.identifier_parts(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query(f"WITH {SEMANTIC} SELECT vec_id AS id, round(score, 6) AS score FROM c ORDER BY c.score DESC, vec_id LIMIT 10")
+def cosine_topk(spark, sf):
+    return rounded(lexical.top_k(semantic(spark, sf), 10))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v FROM v WHERE vec_id = 0),
+c AS (SELECT e.vec_id, 1 - list_sum(list_transform(list_zip(e.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2 AS score FROM v e, q)
+SELECT vec_id AS id, round(score, 6) AS score FROM c ORDER BY c.score DESC, vec_id LIMIT 10""")
+def l2_topk(spark, sf):
+    return rounded(lexical.top_k(semantic(spark, sf, "l2"), 10))
+
+
+@query(f"""WITH {FILES}, {SEMANTIC}, {BM25}, s AS (SELECT path, score FROM c JOIN f ON doc_id = vec_id ORDER BY score DESC, path LIMIT 50), l AS (SELECT path, score FROM b JOIN f ON doc_id = id ORDER BY score DESC, path LIMIT 50),
+r AS (SELECT path, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, path)) AS part FROM s UNION ALL SELECT path, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, path)) FROM l),
+g AS (SELECT path, sum(part) AS score FROM r GROUP BY path ORDER BY 2 DESC, 1 LIMIT 10) SELECT path, round(score, 6) AS score FROM ({NORM('g')})""")
+def rrf_hybrid(spark, sf):
+    lexical_list = bm25(spark, sf).join(documents(spark, sf).select(F.col("doc_id").alias("id"), "path"), "id").select("path", "score")
+    return rounded(fuse.reciprocal_rank([semantic_paths(spark, sf), lexical_list], 10))
+
+
+@query(f"WITH {FILES}, {STRUCTURE} SELECT path, round(score, 6) AS score FROM ({NORM('p')})")
+def minmax_norm(spark, sf):
+    return rounded(fuse.min_max(structural(spark, sf)))
+
+
+@query(f"WITH {MERGED} SELECT path, round(score, 6) AS score FROM m")
+def merge_scores(spark, sf):
+    return rounded(merged(spark, sf))
+
+
+@query(f"WITH {FILES} SELECT path, round(len(list_intersect({TERM_LIST}, ['erin', 'thor', 'onea', 'reand'])) / 4.0, 6) AS score FROM f")
+def symbol_boost(spark, sf):
+    return documents(spark, sf).select("path", F.round(fuse.symbol_share(X.lexical_terms(F.col("text")), TERMS), 6).alias("score"))
+
+
+def _path_hit(t: str) -> str:
+    starts = f"OR (length(p) >= 5 AND left(p, 5) = '{t[:5]}')" if len(t) >= 5 else ""
+    return f"CASE WHEN len(list_filter(regexp_split_to_array(lower(path), '[/_\\-.]'), lambda p: p = '{t}' OR (length(p) >= 4 AND contains(p, '{t}')) {starts})) > 0 THEN 1.0 ELSE 0.0 END"
+
+
+@query(f"WITH {FILES} SELECT path, round(least(1.0, ({' + '.join(map(_path_hit, PATH_TOKENS))}) / 3), 6) AS score FROM f")
+def path_boost(spark, sf):
+    return documents(spark, sf).select("path", F.round(fuse.path_share(X.path_parts(F.col("path")), PATH_TOKENS), 6).alias("score"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN starts_with(path, 'src1') THEN 1.0 ELSE 0.0 END AS loose, CASE WHEN starts_with(path, 'src1/') THEN 1.0 ELSE 0.0 END AS strict FROM f")
+def domain_boost(spark, sf):
+    hit = lambda boundary: F.when(fuse.below_any(F.col("path"), ["src1"], boundary), 1.0).otherwise(0.0)
+    return documents(spark, sf).select("path", hit(False).alias("loose"), hit(True).alias("strict"))
+
+
+@query(f"WITH {FILES}, {STRUCTURE} SELECT path, round(CASE WHEN regexp_matches(path, '(^|/)es/') THEN score * 0.5 ELSE score END, 9) AS score FROM p")
+def test_penalty(spark, sf):
+    return rounded(fuse.test_penalty(structural(spark, sf), "(^|/)es/"), places=9)
+
+
+@query(f"WITH {FILES}, {STRUCTURE} SELECT path, round(score * (CASE WHEN contains(path, '/en/') THEN 2.0 ELSE 1.0 END) * (CASE WHEN contains(lower(path), 'src1') THEN 1.5 ELSE 1.0 END), 9) AS score FROM p")
+def phase_weights(spark, sf):
+    return rounded(fuse.phase_weights(structural(spark, sf), "test", ["/en/"], ["src1"]), places=9)
+
+
+@query(f"WITH {FILES}, {STRUCTURE} SELECT path, round(CASE WHEN path LIKE '%/7.txt' OR path LIKE '%/11.txt' THEN score + 10 ELSE score END, 6) AS score FROM p")
+def rule_boost(spark, sf):
+    return rounded(fuse.rule_boost(structural(spark, sf), ["7.txt", "11.txt"]))
+
+
+RETRIEVE = f"""{MERGED}, z AS (SELECT m.path, m.score + 0.2 * 0.3 * len(list_intersect({TERM_LIST}, ['erin', 'thor', 'onea', 'reand'])) / 4.0 + 0.2 * 0.2 * least(1.0, ({' + '.join(map(_path_hit, PATH_TOKENS)).replace('lower(path)', 'lower(m.path)')}) / 3)
+  + 0.2 * 0.25 * CASE WHEN starts_with(m.path, 'src1') THEN 1.0 ELSE 0.0 END AS score FROM m JOIN f ON f.path = m.path),
+z2 AS (SELECT path, CASE WHEN regexp_matches(path, '(^|/)es/') THEN score * 0.5 ELSE score END AS score FROM z), z3 AS ({NORM('z2')}),
+z4 AS (SELECT path, CASE WHEN path LIKE '%/7.txt' OR path LIKE '%/11.txt' THEN score + 10 ELSE score END AS score FROM z3)"""
+
+
+def retrieve(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Merge, boosts by symbols, path and domain, penalty, scale, rule boost, top k."""
+    symbol, path, place = (f * b for f, b in zip(fuse.FACTORS["semantic-dominant"], fuse.BOOSTS, strict=True))
+    boosts = documents(spark, sf).select("path", (symbol * fuse.symbol_share(X.lexical_terms(F.col("text")), TERMS) + path * fuse.path_share(X.path_parts(F.col("path")), PATH_TOKENS) + place * F.when(fuse.below_any(F.col("path"), ["src1"]), 1.0).otherwise(0.0)).alias("boost"))
+    scored = merged(spark, sf).join(boosts, "path").select("path", (F.col("score") + F.col("boost")).alias("score"))
+    scored = fuse.rule_boost(fuse.min_max(fuse.test_penalty(scored, "(^|/)es/")), ["7.txt", "11.txt"])
+    return scored.orderBy(F.desc("score"), "path").limit(k)
+
+
+@query(f"WITH {RETRIEVE} SELECT path, round(score, 6) AS score FROM z4 ORDER BY z4.score DESC, path LIMIT 20")
+def retrieve_full(spark, sf):
+    return rounded(retrieve(spark, sf, 20))
+
+
+def _domain_sql(path: str) -> str:
+    return f"coalesce(list_filter(regexp_split_to_array(lower({path}), '/'), lambda p: list_contains({DOMAINS}, p))[1], 'general')"
+
+
+@query(f"WITH {RETRIEVE}, t AS (SELECT path, score FROM z4 ORDER BY score DESC, path LIMIT 50) SELECT path, round(score, 6) AS score, {_domain_sql('path')} AS domain FROM t WHERE {_domain_sql('path')} = 'fr'")
+def search_domain_filter(spark, sf):
+    return rounded(retrieve(spark, sf, 50)).withColumn("domain", X.infer_domain(F.col("path"), DOMAINS)).where("domain = 'fr'")
+
+
+TOP = f"o AS (SELECT path, score, length(text) // 4 AS tokens, text, lang FROM p JOIN f USING (path) ORDER BY score DESC, path LIMIT 100)"
+
+
+def top_files(spark: SparkSession, sf: str) -> DataFrame:
+    return structural(spark, sf).join(documents(spark, sf), "path").select("path", "score", X.token_estimate(F.col("text")).alias("tokens"), "text", "lang").orderBy(F.desc("score"), "path").limit(100)
+
+
+@query(f"WITH {FILES}, {STRUCTURE}, {TOP}, r AS (SELECT path, tokens, sum(tokens) OVER (ORDER BY score DESC, path ROWS UNBOUNDED PRECEDING) AS running FROM o) SELECT path, tokens, CAST(running AS BIGINT) AS running FROM r WHERE running <= 40000")
+def budget_select(spark, sf):
+    return fuse.budget_prefix(top_files(spark, sf), 50_000).select("path", "tokens", "running")
+
+
+SUPPLY = "l AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem)"
+
+
+def supply(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+
+
+def _pagerank_sql(rounds: int) -> str:
+    out = [SUPPLY, "dg AS (SELECT src, count(*) AS degree FROM l GROUP BY src)", "nd AS MATERIALIZED (SELECT src AS node FROM l UNION SELECT dst FROM l)", "nn AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM nd)", "r0 AS MATERIALIZED (SELECT node, 1.0 / n AS rank FROM nd, nn)"]
+    for k in range(1, rounds + 1):
+        out.append(f"r{k} AS MATERIALIZED (SELECT nd.node, 0.15 / n + 0.85 * (coalesce(g, 0) + lost / n) AS rank FROM nd LEFT JOIN (SELECT dst, sum(rank / degree) AS g FROM r{k - 1} JOIN l ON node = l.src JOIN dg ON dg.src = l.src GROUP BY dst) ON dst = node, nn, (SELECT coalesce(sum(rank), 0) AS lost FROM r{k - 1} WHERE node NOT IN (SELECT src FROM l)))")
+    return "WITH " + ", ".join(out)
+
+
+@query(_pagerank_sql(5) + " SELECT node, round(rank / (SELECT sum(rank) FROM r5), 9) AS rank FROM r5")
+def pagerank(spark, sf):
+    return rounded(graph.pagerank(supply(spark, sf), 5), "rank", 9)
+
+
+@query(_pagerank_sql(3) + ", bo AS (SELECT node, CASE WHEN node IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 5000) THEN rank * 2 ELSE rank END AS rank FROM r3) SELECT node, round(rank / (SELECT sum(rank) FROM bo), 9) AS rank FROM bo")
+def changed_boost(spark, sf):
+    rich = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return rounded(graph.pagerank(supply(spark, sf), 3, boosted=rich), "rank", 9)
+
+
+def parts_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as files that define their number and refer to customers; customers as files that define theirs and refer to nations by dotted name."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("src/orders/o"), "o_orderkey", F.lit(".py")).alias("path"), F.col("o_orderkey").alias("seq"), F.array(F.concat(F.lit("Order"), "o_orderkey")).alias("symbols_defined"), F.array(F.concat(F.lit("customer"), "o_custkey")).alias("symbols_referenced"), F.lit("python").alias("language"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("src/customers/c"), "c_custkey", F.lit(".py")).alias("path"), F.col("c_custkey").alias("seq"), F.array(F.concat(F.lit("customer"), "c_custkey")).alias("symbols_defined"), F.array(F.concat(F.lit("world.nations.n"), "c_nationkey")).alias("symbols_referenced"), F.lit("python").alias("language"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("src/world/nations/n"), "n_nationkey", F.lit(".py")).alias("path"), F.col("n_nationkey").cast("long").alias("seq"), F.array("n_name").alias("symbols_defined"), F.array().cast("array<string>").alias("symbols_referenced"), F.lit("python").alias("language"))
+    return o.unionByName(c).unionByName(n)
+
+
+CHUNKS = """ch AS (SELECT 'src/orders/o' || o_orderkey || '.py' AS path, 'Order' || o_orderkey AS d, 'customer' || o_custkey AS r FROM orders
+UNION ALL SELECT 'src/customers/c' || c_custkey || '.py', 'customer' || c_custkey, 'world.nations.n' || c_nationkey FROM customer UNION ALL SELECT 'src/world/nations/n' || n_nationkey || '.py', n_name, NULL FROM nation),
+sy AS (SELECT path || '#' || regexp_replace(d, '[^A-Za-z0-9_]', '_', 'g') AS id, path, d FROM ch),
+ed AS (SELECT path AS src, 'CONTAINS' AS relation, id AS dst FROM sy UNION SELECT ch.path, 'CALLS', id FROM ch JOIN sy ON r = sy.d UNION SELECT path, 'IMPORTS', 'src/' || replace(r, '.', '/') || '.py' FROM ch WHERE r LIKE 'world.%'),
+no AS (SELECT path AS id, 'file' AS kind, path AS name, path AS file, 'python' AS language FROM ch UNION SELECT id, CASE WHEN regexp_matches(d, '^[A-Z]') THEN 'class' ELSE 'function' END, d, path, 'python' FROM sy)"""
+
+
+@query(f"WITH {CHUNKS} SELECT * FROM no")
+def graph_nodes(spark, sf):
+    return graph.nodes_of(parts_chunks(spark, sf))
+
+
+@query(f"WITH {CHUNKS} SELECT * FROM ed")
+def graph_edges_full(spark, sf):
+    return graph.edges_of(parts_chunks(spark, sf))
+
+
+@query(f"WITH {CHUNKS} SELECT ch.path AS src, sy.path AS dst FROM ch JOIN sy ON r = sy.d WHERE ch.path <> sy.path GROUP BY ALL")
+def file_edges(spark, sf):
+    return graph.file_edges(parts_chunks(spark, sf))
+
+
+@query(f"WITH {CHUNKS} SELECT path, r AS ref, 'src/' || replace(r, '.', '/') || '.py' AS file FROM ch WHERE r LIKE 'world.%'")
+def module_resolve(spark, sf):
+    ch = parts_chunks(spark, sf)
+    return graph.resolve_modules(ch.select("path", F.explode("symbols_referenced").alias("ref")), ch.select(F.col("path").alias("file")))
+
+
+WORLD_NODES = "no AS (SELECT 'r' || r_regionkey AS id, 'file' AS kind FROM region UNION ALL SELECT 'n' || n_nationkey, 'function' FROM nation UNION ALL SELECT 'c' || c_custkey, 'function' FROM customer UNION ALL SELECT 's' || s_suppkey, 'function' FROM supplier WHERE s_acctbal > 0)"
+WORLD_EDGES = "ed AS (SELECT 'r' || n_regionkey AS src, 'CONTAINS' AS relation, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'CONTAINS', 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 'CALLS', 's' || s_suppkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'IMPORTS', 'n' || c_nationkey FROM customer)"
+
+
+def world(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    t = lambda n: table(spark, sf, n)
+    key = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
+    node = lambda df, letter, col, kind: df.select(key(letter, col).alias("id"), F.lit(kind).alias("kind"))
+    edge = lambda df, a, x, rel, b, y: df.select(key(a, x).alias("src"), F.lit(rel).alias("relation"), key(b, y).alias("dst"))
+    nodes = node(t("region"), "r", "r_regionkey", "file").unionByName(node(t("nation"), "n", "n_nationkey", "function")).unionByName(node(t("customer"), "c", "c_custkey", "function")).unionByName(node(t("supplier").where("s_acctbal > 0"), "s", "s_suppkey", "function"))
+    edges = edge(t("nation"), "r", "n_regionkey", "CONTAINS", "n", "n_nationkey").unionByName(edge(t("customer"), "n", "c_nationkey", "CONTAINS", "c", "c_custkey"))
+    return nodes, edges.unionByName(edge(t("supplier"), "n", "s_nationkey", "CALLS", "s", "s_suppkey")).unionByName(edge(t("customer"), "c", "c_custkey", "IMPORTS", "n", "c_nationkey"))
+
+
+@query(f"""WITH {WORLD_NODES}, {WORLD_EDGES}
+SELECT 'duplicate_id' AS issue, id AS subject FROM no GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'dangling_src', src FROM ed WHERE src NOT IN (SELECT id FROM no) UNION ALL SELECT DISTINCT 'dangling_dst', dst FROM ed WHERE dst NOT IN (SELECT id FROM no)
+UNION ALL SELECT DISTINCT 'orphan_symbol', id FROM no WHERE kind <> 'file' AND id NOT IN (SELECT dst FROM ed WHERE relation = 'CONTAINS') UNION ALL SELECT DISTINCT 'call_to_file', dst FROM ed JOIN no ON dst = id WHERE relation = 'CALLS' AND kind = 'file' UNION ALL SELECT DISTINCT 'import_of_symbol', dst FROM ed JOIN no ON dst = id WHERE relation = 'IMPORTS' AND kind <> 'file'""")
+def graph_validate(spark, sf):
+    return graph.validate(*world(spark, sf))
+
+
+@query(f"WITH {WORLD_NODES}, {WORLD_EDGES} SELECT DISTINCT id, kind FROM ed JOIN no ON dst = id WHERE relation = 'CONTAINS' AND src = 'n3'")
+def contains_of(spark, sf):
+    nodes, edges = world(spark, sf)
+    return edges.where("relation = 'CONTAINS' and src = 'n3'").join(nodes, F.col("dst") == F.col("id")).select("id", "kind").distinct()
+
+
+@query(f"WITH {CHUNKS} SELECT DISTINCT src FROM ed JOIN no ON dst = id WHERE relation = 'CALLS' AND name = 'customer7'")
+def callers_of(spark, sf):
+    ch = parts_chunks(spark, sf)
+    return graph.edges_of(ch).where("relation = 'CALLS'").join(graph.nodes_of(ch).where("name = 'customer7'"), F.col("dst") == F.col("id")).select("src").distinct()
+
+
+@query(f"WITH {CHUNKS} SELECT DISTINCT src FROM ed WHERE relation = 'IMPORTS' AND dst = 'src/world/nations/n3.py'")
+def impact_of(spark, sf):
+    return graph.edges_of(parts_chunks(spark, sf)).where("relation = 'IMPORTS' and dst = 'src/world/nations/n3.py'").select("src").distinct()
+
+
+@query(f"""WITH {SUPPLY}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS s FROM l GROUP BY src), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS p FROM l GROUP BY dst)
+SELECT coalesce(o.id, i.id) AS id, coalesce(s, '') AS successors, coalesce(p, '') AS predecessors FROM o FULL JOIN i ON o.id = i.id""")
+def neighbors(spark, sf):
+    return graph.neighbours(supply(spark, sf)).select("id", F.array_join("successors", ",").alias("successors"), F.array_join("predecessors", ",").alias("predecessors"))
+
+
+@query(f"""WITH RECURSIVE {WORLD_EDGES}, w AS (SELECT 'r1' AS node, 0 AS hops, 'r1' AS route UNION ALL SELECT dst, hops + 1, route || '->' || dst FROM w JOIN ed ON src = node WHERE relation <> 'IMPORTS' AND hops < 10)
+SELECT node, CAST(min(hops) AS INTEGER) AS hops, arg_min(route, (hops, route)) AS route FROM w GROUP BY node""")
+def find_path(spark, sf):
+    return graph.reach(world(spark, sf)[1].where("relation != 'IMPORTS'"), "r1", 10)
+
+
+@query(f"WITH {SUPPLY} SELECT n, m, round(2.0 * m / n, 2) AS avg_degree FROM (SELECT count(*) AS m FROM l), (SELECT count(*) AS n FROM (SELECT src FROM l UNION SELECT dst FROM l))")
+def graph_stats(spark, sf):
+    e = supply(spark, sf)
+    n = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(e.agg(F.count(F.lit(1)).alias("m"))).select("n", "m", F.round(2.0 * F.col("m") / F.col("n"), 2).alias("avg_degree"))  # one row each
+
+
+@query(f"WITH {FILES}, {SEMANTIC}, s AS (SELECT path, score FROM c JOIN f ON doc_id = vec_id) SELECT path, round(score, 6) AS score FROM s UNION ALL SELECT path, round((SELECT max(score) FROM s) * 0.3, 6) FROM f WHERE path NOT IN (SELECT path FROM s)")
+def graph_augment(spark, sf):
+    return rounded(graph.augment(semantic_paths(spark, sf), documents(spark, sf).select("path")))
+
+
+@query("SELECT 'conv/' || conv_id AS path, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
+def file_concat(spark, sf):
+    turns = table(spark, sf, "conversations").select(F.concat(F.lit("conv/"), "conv_id").alias("path"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return chunks.file_texts(turns)
+
+
+MARKED = r"replace(replace(replace(coalesce(html, ''), '<p>', chr(10)), '<h1>', chr(10) || '# '), '</h1>', chr(10))"
+
+
+@query(f"""WITH t AS (SELECT page_id, regexp_split_to_array({MARKED}, '\\n') AS x FROM pages), l AS (SELECT page_id, unnest(x) AS line, generate_subscripts(x, 1) AS ln FROM t),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ln) AS section FROM l)
+SELECT 'page/' || page_id AS path, CAST(min(ln) AS INTEGER) AS start_line, CAST(max(ln) AS INTEGER) AS end_line, trim(regexp_replace(arg_min(line, ln), '^#{{1,6}}\\s+', '')) AS symbol, string_agg(line, chr(10) ORDER BY ln) AS content FROM s WHERE section > 0 GROUP BY page_id, section""")
+def markdown_sections(spark, sf):
+    marked = F.coalesce("html", F.lit(""))
+    for raw, said in (("<p>", "\n"), ("<h1>", "\n# "), ("</h1>", "\n")):
+        marked = F.replace(marked, F.lit(raw), F.lit(said))
+    return chunks.markdown_sections(table(spark, sf, "pages").select(F.concat(F.lit("page/"), "page_id").alias("path"), marked.alias("content")))
+
+
+@query(f"WITH {FILES} SELECT path, '# File: ' || path || chr(10) || '# Type: ' || lang || chr(10) || '# Lines: 1-' || len(regexp_split_to_array(text, '\\n')) || chr(10) || chr(10) || text AS content FROM f")
+def enrich_header(spark, sf):
+    return documents(spark, sf).select("path", chunks.enriched(F.col("path"), F.col("lang"), F.lit(1), F.size(F.split("text", "\n")), F.col("text")).alias("content"))
+
+
+CODE_TEXT = "'def ' || regexp_replace(split_part(coalesce(text, ''), ' ', 1), '[^A-Za-z0-9_]', '', 'g') || 'x()' || chr(10) || 'class ' || regexp_replace(split_part(coalesce(text, ''), ' ', 2), '[^A-Za-z0-9_]', '', 'g') || '_' || chr(10) || coalesce(text, '')"
+
+
+def code_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with two definitions, named after their first words, before the text."""
+    word = lambda n: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(n)), "[^A-Za-z0-9_]", "")
+    made = F.concat(F.lit("def "), word(1), F.lit("x()\nclass "), word(2), F.lit("_\n"), "text")
+    return documents(spark, sf).select("doc_id", "path", made.alias("content"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {CODE_TEXT} AS t FROM documents), x AS (SELECT doc_id, regexp_extract_all(t, '(?m)^(?:export |pub |async )*(?:def|class|function|fn|struct|enum|trait|interface) +([A-Za-z_][A-Za-z0-9_]*)', 1) AS x FROM t)
+SELECT doc_id, array_to_string(list_filter(x, lambda s, i: list_position(x, s) = i), ',') AS symbols FROM x""")
+def toplevel_symbols(spark, sf):
+    return code_files(spark, sf).select("doc_id", F.array_join(chunks.toplevel_symbols(F.col("content")), ",").alias("symbols"))
+
+
+@query()
+def regex_chunks(spark, sf):
+    made = code_files(spark, sf).select("path", F.concat(F.lit("function "), F.regexp_extract("content", r"def (\w+)", 1), F.lit("() {\n"), "content", F.lit("\n}\n")).alias("content"), F.lit("javascript").alias("language"))
+    return chunks.chunk_code(made)
+
+
+@query()
+def split_large(spark, sf):
+    whole = documents(spark, sf).select("path", F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content"), F.array("path").alias("symbols_defined"), F.array("lang").alias("symbols_referenced"), F.col("lang").alias("language"))
+    return chunks.split_large(whole)
+
+
+@query(f"WITH {FILES} SELECT path FROM f WHERE (starts_with(path, 'src1/') OR regexp_full_match(path, 'src2.*\\.txt')) AND NOT regexp_full_match(path, '(.*/)?es/.*')")
+def glob_filter(spark, sf):
+    return files.filter_globs(documents(spark, sf).select("path"), ["src1/**", "src2*.txt"], ["**/es/*"])
+
+
+KEYWORDS = f"list_filter(list_distinct(regexp_split_to_array(lower(path), '[/\\-_.\\s]+')), lambda w: length(w) > 2 AND w NOT IN {domain.NOISE})"
+
+
+@query(f"WITH {FILES} SELECT DISTINCT unnest({KEYWORDS}) AS keyword, source || '/' || lang AS dir FROM f")
+def domain_keywords(spark, sf):
+    return domain.domain_keywords(documents(spark, sf)).select("keyword", "dir")
+
+
+@query(f"""WITH {FILES}, {STRUCTURE}, k AS (SELECT path, score AS weight, unnest({KEYWORDS}) AS keyword FROM p)
+SELECT keyword, count(*) AS file_count, round(sum(weight), 6) AS weight, array_to_string((list(path ORDER BY weight DESC, path))[1:3], ',') AS top_files FROM k GROUP BY keyword ORDER BY file_count DESC, 3 DESC, keyword LIMIT 50""")
+def domain_map(spark, sf):
+    return domain.domain_map(structural(spark, sf).withColumnRenamed("score", "weight"))
+
+
+@query(f"WITH {FILES} SELECT path, {_domain_sql('path')} AS domain FROM f")
+def infer_domain(spark, sf):
+    return documents(spark, sf).select("path", X.infer_domain(F.col("path"), DOMAINS).alias("domain"))
+
+
+@query(f"WITH {FILES} SELECT path, coalesce(left(list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '//'))[1], 140), '') AS summary FROM f")
+def summary_line(spark, sf):
+    return documents(spark, sf).select("path", X.summary_line(F.col("text")).alias("summary"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("sha256"))
+
+
+OLD = "old AS (SELECT path, sha256(CASE WHEN lang = 'fr' THEN text || ' ' ELSE text END) AS sha256 FROM f WHERE lang <> 'de' UNION ALL SELECT 'gone/' || path, sha256(text) FROM f WHERE lang = 'es')"
+
+
+@query(f"WITH {FILES}, {OLD}, now AS (SELECT path, sha256(text) AS sha256 FROM f) SELECT coalesce(old.path, now.path) AS path, CASE WHEN now.path IS NULL THEN 'deleted' WHEN old.path IS NULL THEN 'added' ELSE 'changed' END AS change FROM old FULL JOIN now ON old.path = now.path WHERE old.sha256 IS DISTINCT FROM now.sha256")
+def manifest_diff(spark, sf):
+    d = documents(spark, sf)
+    was = d.where("lang != 'de'").select("path", X.content_hash(F.when(F.col("lang") == "fr", F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("sha256"))
+    was = was.unionByName(d.where("lang = 'es'").select(F.concat(F.lit("gone/"), "path").alias("path"), X.content_hash(F.col("text")).alias("sha256")))
+    return maintain.manifest_diff(was, d.select("path", X.content_hash(F.col("text")).alias("sha256")))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT n_nationkey, lower(n_name), n_regionkey FROM nation WHERE n_regionkey = 2")
+def upsert(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return maintain.upsert(n, n.where("n_regionkey = 2").withColumn("n_name", F.lower("n_name")), ["n_nationkey"])
+
+
+@query(f"WITH {CHUNKS}, g AS (SELECT id FROM no WHERE file LIKE 'src/world/%') SELECT * FROM ed WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)")
+def delete_scope(spark, sf):
+    ch = parts_chunks(spark, sf)
+    nodes = graph.nodes_of(ch)
+    return maintain.delete_file(nodes, graph.edges_of(ch), nodes.where("file like 'src/world/%'").select("file"))[1]
+
+
+@query("WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), c AS (SELECT sha256, min(doc_id) AS v FROM d JOIN embeddings ON vec_id = doc_id GROUP BY sha256) SELECT doc_id, v IS NOT NULL AS hit FROM d LEFT JOIN c USING (sha256)")
+def embedding_cache_hits(spark, sf):
+    hashes = table(spark, sf, "documents").select("doc_id", X.content_hash(F.col("text")).alias("sha256"))
+    cached = hashes.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").groupBy("sha256").agg(F.min_by("vector", "doc_id").alias("vector"))
+    return maintain.cache_lookup(hashes, cached).select("doc_id", "hit")
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source, sha256(coalesce(text, '')) ORDER BY doc_id) = 1 AS first FROM documents")
+def session_dedup(spark, sf):
+    rows = table(spark, sf, "documents").select("source", "doc_id", X.content_hash(F.col("text")).alias("sha256"))
+    return maintain.first_seen(rows, "source", "sha256", ["doc_id"]).select("source", "doc_id", "first")
+
+
+@query()
+def rate_limit(spark, sf):
+    return sessions.rate_limit(table(spark, sf, "events"))
+
+
+def _redact_sql(column: str) -> str:
+    for kind, pattern in X.SECRETS.items():
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED:{kind}]', 'g')"
+    return column
+
+
+def _found_sql(column: str) -> str:
+    cases = ", ".join(f"CASE WHEN regexp_matches({column}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}' END" for k, p in X.SECRETS.items())
+    return f"array_to_string(list_filter([{cases}], lambda k: k IS NOT NULL), ',')"
+
+
+@query(f"WITH {FILES} SELECT path, {_found_sql('text')} AS secrets, {_redact_sql('text')} AS text FROM f")
+def secret_redact(spark, sf):
+    return documents(spark, sf).select("path", F.array_join(X.secrets_found(F.col("text")), ",").alias("secrets"), X.redact(F.col("text")).alias("text"))
+
+
+@query()
+def compress(spark, sf):
+    made = code_files(spark, sf).select(F.concat("path", F.lit(".py")).alias("path"), "content")
+    scores = fuse.min_max(structural(spark, sf)).select(F.concat("path", F.lit(".py")).alias("path"), "score")
+    return chunks.compress(made.join(scores, "path"))
+
+
+ESCAPED = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"WITH {FILES} SELECT path, '<file path=\"' || path || '\" tokens=\"' || (length(text) // 4) || '\">' || {ESCAPED('text')} || '</file>' AS fragment FROM f")
+def pack_xml(spark, sf):
+    return documents(spark, sf).select("path", sinks.xml_fragment(F.col("path"), X.token_estimate(F.col("text")), F.col("text")).alias("fragment"))
+
+
+@query(f"WITH {FILES}, {STRUCTURE}, {TOP} SELECT path, '--- file: ' || path || ' | score: ' || printf('%.4f', score) || ' ---' || chr(10) || text AS fragment FROM o")
+def pack_toon(spark, sf):
+    return top_files(spark, sf).select("path", sinks.toon_fragment(F.col("path"), F.col("score"), F.col("text")).alias("fragment"))
+
+
+@query(f"WITH {FILES} SELECT path, CAST(to_json({{'path': path, 'tokens': length(text) // 4, 'domain': {_domain_sql('path')}}}) AS VARCHAR) AS row FROM f")
+def pack_json(spark, sf):
+    return documents(spark, sf).select("path", sinks.json_row({"path": F.col("path"), "tokens": X.token_estimate(F.col("text")), "domain": X.infer_domain(F.col("path"), DOMAINS)}).alias("row"))
+
+
+@query()
+def pack_zip(spark, sf):
+    chosen = fuse.budget_prefix(top_files(spark, sf), 50_000)
+    made = sinks.pack_zip(chosen.select("path", "score", "tokens", sinks.reason(F.col("score"), F.lit(False)).alias("reason"), F.col("text").alias("content")), "review")
+    return spark.createDataFrame([(bytearray(made),)], "archive binary")
+
+
+@query(f"WITH {MERGED} SELECT path, CASE WHEN toxic = 1 THEN 'Changed file' WHEN score > 0.7 THEN 'Semantic match' WHEN score > 0.3 THEN 'Dependency' ELSE 'Transitive dependency' END AS reason FROM m JOIN f USING (path) LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)")
+def manifest_reason(spark, sf):
+    toxic = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scored = merged(spark, sf).join(documents(spark, sf).select("doc_id", "path"), "path").join(toxic, "doc_id", "left")
+    return scored.select("path", sinks.reason(F.col("score"), F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("reason"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(text, '\\n')) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS lines, 'text' AS language FROM f")
+def file_facts(spark, sf):
+    return documents(spark, sf).select("path", X.line_count(F.col("text")).cast("long").alias("lines"), X.language_of(F.col("path")).alias("language"))
+
+
+@query("""WITH c AS (SELECT 'conv/' || conv_id AS path, turn AS a, turn + CASE WHEN role = 'user' THEN 1 ELSE 0 END AS z, coalesce(text, '') AS content FROM conversations)
+SELECT path, string_agg(content, chr(10) || chr(10) ORDER BY a, content) AS text FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.path = c.path AND o.a <= c.a AND c.z <= o.z AND (o.a, o.z) <> (c.a, c.z)) GROUP BY path""")
+def pretty_print(spark, sf):
+    turns = table(spark, sf, "conversations").select(F.concat(F.lit("conv/"), "conv_id").alias("path"), F.col("turn").alias("start_line"), (F.col("turn") + F.when(F.col("role") == "user", 1).otherwise(0)).alias("end_line"), F.coalesce("text", F.lit("")).alias("content"))
+    return chunks.pretty_print(turns)
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
