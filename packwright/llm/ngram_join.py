@@ -120,45 +120,53 @@ def prune(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").transform(map_pandas, run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs within a bucket and across components that outlive pruning.
+def compare_blocks(members: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """Compare members of a bucket that are in different components, in blocks.
 
-    members: bucket, doc_id, comp, sig, block, blocks. A bucket of many blocks is met as
-    pairs of blocks in as many groups, each of at most about 2 * BLOCK rows."""
+    members: bucket, doc_id, comp, sig, block, blocks, and if exact bands and shingles. A bucket of many blocks is met as
+    pairs of blocks in as many groups, each of at most about 2 * BLOCK rows. Returned
+    are, if not exact, doc_id of members with a pair that outlives pruning; if exact, the verified links a, b, each
+    in the first bucket that its ends share. Pairs themselves never become rows."""
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    keyed = spread.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "block", "lo", "hi", "doc_id", "comp", "sig")
+    keyed = spread.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "bucket", "block", "lo", "hi", "doc_id", "comp", "sig", *(["bands", "shingles"] if exact else []))
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
-        group, doc, comp = (held[c].to_numpy() for c in ("group", "doc_id", "comp"))
+        group, bucket, doc, comp = (held[c].to_numpy() for c in ("group", "bucket", "doc_id", "comp"))
         mixed, block = (held["lo"] != held["hi"]).to_numpy(), held["block"].to_numpy()
-        sig, a, b = _signatures(held["sig"]), [], []
-        lag = 1
-        while lag < len(held):
+        sig, pairs = _signatures(held["sig"]), [np.zeros((2, 0), np.int64)]
+        bands = np.stack(held["bands"].to_numpy()) if exact else None
+        for lag in range(1, len(held)):
             i = np.flatnonzero(group[lag:] == group[:-lag])
             if not len(i):
                 break
             i = i[(comp[i] != comp[i + lag]) & ~(mixed[i] & (block[i] == block[i + lag]))]
             i = i[survivors(sig[i], sig[i + lag], threshold)]
-            a.append(np.minimum(doc[i], doc[i + lag]))
-            b.append(np.maximum(doc[i], doc[i + lag]))
-            lag += 1
-        return pd.DataFrame({"a": np.concatenate(a or [np.zeros(0, np.int64)]), "b": np.concatenate(b or [np.zeros(0, np.int64)])})
+            if exact and len(i):
+                first = (bands[i] == bands[i + lag]).argmax(axis=1)
+                i = i[bands[i, first] == bucket[i]]
+                shingles = held["shingles"]
+                i = i[np.array([jaccard(shingles[k], shingles[k + lag]) >= threshold for k in i], bool)]
+            pairs.append(np.sort(np.stack([doc[i], doc[i + lag]]), axis=0))
+        a, b = np.concatenate(pairs, axis=1)
+        return pd.DataFrame({"a": a, "b": b}) if exact else pd.DataFrame({"doc_id": np.unique(np.concatenate([a, b]))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for x in batches:
-            x = x if held is None else pd.concat([held, x], ignore_index=True)
             if not len(x):
                 continue
-            last = x["group"].to_numpy() == x["group"].iloc[-1]  # this group may go on
-            held = x[last].reset_index(drop=True)
-            if not last.all():
-                yield compare(x[~last].reset_index(drop=True))
-        if held is not None and len(held):
-            yield compare(held)
+            group = x["group"].to_numpy()
+            last = group == group[-1]  # this group may go on
+            if last.all() and held and held[-1]["group"].iloc[-1] == group[-1]:
+                held.append(x)
+                continue
+            yield compare(pd.concat([*held, x[~last]], ignore_index=True))
+            held = [x[last]]
+        if held:
+            yield compare(pd.concat(held, ignore_index=True))
 
-    return keyed.repartition("group").sortWithinPartitions("group").transform(map_pandas, run, "a long, b long").distinct()
+    return keyed.repartition("group").sortWithinPartitions("group").transform(map_pandas, run, "a long, b long" if exact else "doc_id long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,15 +202,15 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     same set, n_copies how many documents have it. class_id is the least doc_id of
     the documents that links (similarity >= threshold) join, through others too.
     n_links counts the links of the text to other texts that the join has verified:
-    one to the head of each bucket it meets, and all that join two classes; members of a class are not paired off.
+    those to the heads of its buckets, and all that join two classes; members of a class are not paired off.
     Null and empty texts and texts without a word are copies of none: each is its own class. Rows that share a
     doc_id count as one document; a row without doc_id has a null text_id and class_id and no links. Other columns are left out.
 
-    1. Equal sets become one text. 2. Its MinHash bands are buckets; each bucket names
-    a head at random, and each member is paired with it, so pairs grow with the members,
-    not their square. 3. Pruned and verified, these links give components. 4. In buckets that
+    1. Equal sets become one text. 2. Its MinHash bands are buckets; each bucket names two
+    heads, one at random and the member whose buckets are largest (the text that the others vary), and each member
+    is paired with them, so pairs grow with the members, not their square. 3. Pruned and verified, these links give components. 4. In buckets that
     still hold several components, members of different ones are compared in blocks of
-    BLOCK; what outlives pruning is verified. So no link between two classes is lost."""
+    BLOCK, and what outlives pruning is verified there. So no link between two classes is lost."""
     bound_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     feats = materialize(texts.transform(map_pandas, features, FEATURES), "features")
@@ -211,20 +219,25 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     reps = materialize(reps.select("key_a", "key_b", "r.*", "n_copies"), "texts")
 
     rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("head")).where("size > 1")
-    buckets = materialize(rows.join(heads, "bucket"), "buckets")
-    members = buckets.select("doc_id").distinct()
-    sets = materialize(texts.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).transform(map_pandas, shingle_sets, "doc_id long, shingles binary"), "sets")
-    near = materialize(reps.select("doc_id", "sig").join(members, "doc_id", "left_semi"), "signatures")
-
-    pairs = buckets.where("doc_id != head").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = materialize(rows.join(sizes, "bucket"), "buckets")
+    members = buckets.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    central = F.max(F.struct("met", -F.col("doc_id"))).getField("col2")
+    ranked = buckets.join(members, "doc_id")
+    heads = ranked.groupBy("bucket").agg((-central).alias("head"), F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("other_head"))
+    headed = buckets.join(heads, "bucket").select("doc_id", F.explode(F.array("head", "other_head")).alias("head")).where("doc_id != head")
+    sets = materialize(texts.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).transform(map_pandas, shingle_sets, "doc_id long, shingles binary"), "sets")
+    near = materialize(reps.select("doc_id", "sig", "bands").join(members.select("doc_id"), "doc_id", "left_semi"), "signatures")
+
+    pairs = headed.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
     links = materialize(verify(prune(pairs, near, threshold), sets, threshold), "head_links")
     comps = materialize(components(links), "components")
     held = with_components(buckets.select("bucket", "doc_id"), comps)
     open_ = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     open_ = held.join(open_.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
-    more = verify(materialize(block_pairs(open_.join(near, "doc_id"), threshold), "cross_pairs"), sets, threshold)
+    close = materialize(compare_blocks(open_.join(near.drop("bands"), "doc_id"), threshold, exact=False), "close")
+    more = compare_blocks(open_.join(near.join(close, "doc_id").join(sets, "doc_id"), "doc_id"), threshold, exact=True)
     links = materialize(links.unionByName(more), "all_links")
     comps = components(links)
 
