@@ -139,8 +139,8 @@ class Index:
     def open_windows(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
         """Passages (text, from, to) that essential terms and slack could carry over SCORE for some item.
 
-        Weights are summed for each half passage and item, a repeated word counting again:
-        a bound from above. No other passage can reach SCORE."""
+        Weights of distinct terms are summed for each half passage and item, a term in
+        both halves counting twice: a bound from above. No other passage can reach SCORE."""
         near = np.flatnonzero(self.quick[words & np.uint64(len(self.quick) - 1)])
         t = np.minimum(np.searchsorted(self.terms, words[near]), len(self.terms) - 1)
         hit = (self.terms[t] == words[near]) & self.essential[t]
@@ -151,6 +151,7 @@ class Index:
         halves = -(-np.diff(bounds) // self.half)
         first = np.concatenate([[0], np.cumsum(halves + 1)])  # one more for each text, so that neighbours are of one text
         half = first[text] + (place - bounds[text]) // self.half
+        half, t = np.divmod(np.unique(half * len(self.terms) + t), len(self.terms))
         n = self.start[t + 1] - self.start[t]
         posting = np.repeat(self.start[t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         n_items = len(self.ids)
