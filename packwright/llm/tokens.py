@@ -1,48 +1,58 @@
-"""Token ids of whole texts by the tokenizers library, at the cost of one lookup for each repeated chunk."""
+"""Token ids of whole texts by the tokenizers library, each distinct piece of a batch looked up once."""
 
 from __future__ import annotations
 
+import json
 import os
-import re
+import unicodedata
 
 import numpy as np
 
-#: Chunks that one generation of a worker's cache holds; two generations live at once.
-CACHE_CHUNKS = 400_000
-#: Characters that Python and the library may class differently as white space, and the mark of a bare chunk: texts with one are encoded whole.
-UNSURE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "\u200b", "\ufeff")
-#: White space other than blank and line feed.
-OTHER_SPACE = ("\t", "\r", "\x0b", "\x0c", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
-_CHUNK = re.compile(r"\s*\S+|\s+")
+from packwright.llm.common import mix64
+
+#: Pieces that one generation of a worker's cache holds; two generations live at once.
+CACHE_PIECES = 400_000
+LETTER, NUMBER, OTHER, SPACE, EDGE = 1, 2, 3, 4, 9
+#: Characters that end texts here, that Python and the library may class differently as white space, or that lower-case by context: texts with one are encoded whole.
+UNSURE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "İ", "Σ", "᠎", "​", "﻿")
+# Endings after an apostrophe that both pre-tokenizers keep apart.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _encoders: dict[str, Encoder] = {}
+_tables: dict[str, np.ndarray] = {}
+
 
+def _holds_unsure(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in UNSURE[:5])
+    return any(c in text for c in UNSURE)
 
-def _holds(text: str, chars: tuple[str, ...]) -> bool:
-    ascii_only = text.isascii()
-    return any(c in text for c in chars if not ascii_only or c < "\x80")
 
+def _class_table() -> np.ndarray:
+    if "class" not in _tables:
+        kind = {"L": LETTER, "N": NUMBER}
+        table = np.array([SPACE if (c := chr(i)).isspace() else kind.get(unicodedata.category(c)[0], OTHER) for i in range(0x110000)], np.uint8)
+        table[0] = EDGE
+        _tables["class"] = table
+    return _tables["class"]
 
-def chunk_keys(text: str) -> list[str]:
-    """The chunks of a text: a run of white space and the run of other characters after it.
 
-    As keys: the blank before a word is left out, a line feed stays, and a chunk of any other kind has a mark before it."""
-    if not (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _holds(text, OTHER_SPACE)):
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\0" + keys[0]
-        return keys
-    keys = []
-    for c in _CHUNK.findall(text):
-        single = len(c) > 1 and not c[1].isspace()
-        keys.append(c[1:] if single and c[0] == " " else c if single and c[0] == "\n" else "\0" + c)
-    return keys
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_tables.get("p0", ())) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for k, base in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
+            for name, b in ((f"p{k}", base), (f"i{k}", pow(base, -1, 1 << 64))):
+                steps = np.full(size, np.uint64(b))
+                steps[0] = 1
+                _tables[name] = np.multiply.accumulate(steps)
+    return [_tables[k][:n] for k in ("p0", "i0", "p1", "i1")]
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    Both byte-level and word BPE start a new piece where white space starts, so the ids of a
-    text are those of its chunks, and each distinct chunk is encoded once. New ones are encoded as one text
-    and told apart by the offsets that the library gives."""
+    The pre-tokenizers' pieces are found for a whole batch by classes of characters, with arrays instead of a
+    loop over characters; two 64-bit hashes name a piece (the second is checked). The library's model encodes each piece that the cache
+    lacks. byte_bpe: ByteLevel with its regex; word_bpe: NFC, lower case, split, white space dropped."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,8 +60,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        steps = {"ByteLevel": "bytes", "Sequence": "words"}.get(spec["pre_tokenizer"]["type"])
+        lowers = [n["type"] for n in (spec["normalizer"] or {"normalizers": []})["normalizers"]]
+        if steps is None or (steps == "words") != (lowers == ["NFC", "Replace", "Lowercase"]) or spec["model"]["type"] != "BPE":
+            raise ValueError(f"{path}: neither a byte-level nor a word BPE")
+        self.words = steps == "words"
+        shown = {c: chr(c) for c in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        hidden = [c for c in range(256) if c not in shown]
+        self.alphabet = shown | {c: chr(256 + k) for k, c in enumerate(hidden)}  # how byte-level models write bytes
+        self.young: dict[int, tuple[int, bytes]] = {}
+        self.old: dict[int, tuple[int, bytes]] = {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -62,30 +81,73 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        if len(self.young) + len(keys) > CACHE_CHUNKS:
+    def _piece(self, piece: str) -> bytes:
+        written = piece.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
+
+    def _bounds(self, joined: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of pieces in texts joined by NUL."""
+        kind = _class_table()[codes]
+        before = np.concatenate([np.full(1, EDGE, np.uint8), kind[:-1]])
+        start = kind != before
+        if self.words:
+            start |= kind == NUMBER
+        else:
+            real = np.flatnonzero((kind <= OTHER) & (before == SPACE))
+            blank = codes[real - 1] == 32
+            start[real[blank]] = False
+            start[real - 1] = True
+        at = -1
+        while (at := joined.find("'", at + 1)) >= 0:
+            if before[at] == OTHER or not self.words and at and codes[at - 1] == 32:
+                continue
+            end = next((at + 1 + len(e) for e in ENDINGS if joined.startswith(e, at + 1)), 0)
+            if end:
+                start[at + 1] = False
+                if end < len(kind):
+                    start[end] = True
+        first = np.flatnonzero(start)
+        last = np.append(first[1:], len(codes))
+        keep = (kind[first] != EDGE) & ((kind[first] != SPACE) | (not self.words))
+        return first[keep], last[keep]
+
+    def _lookup(self, h1: np.ndarray, h2: np.ndarray, begin: np.ndarray, end: np.ndarray, joined: str) -> list[bytes]:
+        if len(self.young) + len(h1) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        made = {k: self.old[k] for k in keys if k in self.old}
-        made |= {k: self.whole(k[1:]) for k in keys if k not in made and k[0] == "\0"}
-        new = [k for k in keys if k not in made]
-        for at in range(0, len(new), 4096):
-            said = [k if k[0] == "\n" else " " + k for k in new[at : at + 4096]]
-            got = self.tokenizer.encode("".join(said), add_special_tokens=False)
-            ids, ends = np.array(got.ids, "<u4"), np.array([b for _, b in got.offsets])
-            cuts = np.searchsorted(ends, np.cumsum([0, *map(len, said)]), "right").tolist()
-            made.update((k, ids[a:b].tobytes()) for k, a, b in zip(new[at : at + 4096], cuts, cuts[1:], strict=False))
-        self.young.update(made)
-        return made
+        out, young, old = [], self.young, self.old
+        for k, check, a, b in zip(h1.tolist(), h2.tolist(), begin.tolist(), end.tolist(), strict=True):
+            got = young.get(k)
+            if got is None:
+                got = old.get(k) or (check, self._piece(joined[a:b]))
+                young[k] = got
+            out.append(got[1] if got[0] == check else self._piece(joined[a:b]))
+        return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        whole = {i: self.whole(t) for i, t in enumerate(texts) if _holds(t, UNSURE)}
-        keys = [chunk_keys(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        found = [list(map(self.young.get, k)) for k in keys]
-        missing = {k[j] for k, f in zip(keys, found, strict=True) if None in f for j, v in enumerate(f) if v is None}
-        made = self._learn(missing) if missing else {}
-        out = []
-        for i, (k, f) in enumerate(zip(keys, found, strict=True)):
-            if None in f:
-                f = [made[k[j]] if v is None else v for j, v in enumerate(f)]
-            out.append(whole[i] if i in whole else b"".join(f))
-        return out
+        whole = {i: self.whole(t) for i, t in enumerate(texts) if _holds_unsure(t)}
+        parts = ["" if i in whole else t for i, t in enumerate(texts)]
+        if self.words:
+            parts = [t.lower() if t.isascii() else unicodedata.normalize("NFC", t).lower() for t in parts]
+        joined = "\0".join(parts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(codes):
+            return [whole.get(i, b"") for i in range(len(texts))]
+        begin, end = self._bounds(joined, codes)
+        up, down, up2, down2 = _powers(len(codes) + 1)
+        wide = codes.astype(np.uint64) + np.uint64(1)
+        hashes = []
+        for p, q in ((up, down), (up2, down2)):
+            prefix = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(wide * p[: len(codes)], out=prefix[1:])
+            hashes.append(mix64((prefix[end] - prefix[begin]) * q[begin] + (end - begin).astype(np.uint64)))
+        uniq, first, place = np.unique(hashes[0], return_index=True, return_inverse=True)
+        ids = self._lookup(uniq, hashes[1][first], begin[first], end[first], joined)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        at = np.concatenate([[0], np.cumsum(size)])[:-1]
+        n = size[place]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        tokens = flat[np.repeat(at[place] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        bounds = upto[np.searchsorted(begin, cuts)].tolist()
+        return [whole[i] if i in whole else tokens[a:b].tobytes() for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
