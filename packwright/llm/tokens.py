@@ -12,8 +12,9 @@ from packwright.llm.common import mix64
 
 #: Pieces that one generation of a worker's cache holds; two generations live at once.
 CACHE_PIECES = 400_000
-LETTER, NUMBER, OTHER, SPACE, EDGE = 1, 2, 3, 4, 9
-#: Characters that end texts here, that Python and the library may class differently as white space, or that lower-case by context: texts with one are encoded whole.
+LETTER, NUMBER, OTHER, SPACE, UNASSIGNED, EDGE = 1, 2, 3, 4, 5, 9
+#: Characters that end texts here, that Python and the library may class differently as white space, or that lower-case by context: texts with one are encoded whole,
+#: and so are those with a code point that Python's Unicode version doesn't assign, as the library's may.
 UNSURE = ("\0", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "İ", "Σ", "᠎", "​", "﻿")
 # Endings after an apostrophe that both pre-tokenizers keep apart.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -24,13 +25,16 @@ _tables: dict[str, np.ndarray] = {}
 def _holds_unsure(text: str) -> bool:
     if text.isascii():
         return any(c in text for c in UNSURE[:5])
-    return any(c in text for c in UNSURE)
+    if any(c in text for c in UNSURE):
+        return True
+    return bool((_class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] == UNASSIGNED).any())
 
 
 def _class_table() -> np.ndarray:
     if "class" not in _tables:
         kind = {"L": LETTER, "N": NUMBER}
-        table = np.array([SPACE if (c := chr(i)).isspace() else kind.get(unicodedata.category(c)[0], OTHER) for i in range(0x110000)], np.uint8)
+        category = [unicodedata.category(chr(i)) for i in range(0x110000)]
+        table = np.array([SPACE if chr(i).isspace() else UNASSIGNED if c == "Cn" else kind.get(c[0], OTHER) for i, c in enumerate(category)], np.uint8)
         table[0] = EDGE
         _tables["class"] = table
     return _tables["class"]

@@ -219,6 +219,8 @@ def test_tokens_equal_library(name):
         assert encoder.encode_many(texts) == [encoder.whole(t) for t in texts]
 
     same()
+    newer = [":\U00013460", "a\U00013460b é", "1\U00010d40 2", "x\ua7cbY", "!\uffff?", "plain é"]
+    assert encoder.encode_many(newer) == [encoder.whole(t) for t in newer]
 
 
 def check_pieces(rows, texts, encode):
