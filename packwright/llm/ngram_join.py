@@ -20,6 +20,10 @@ N_HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 20, 1e-5
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 256
+#: Texts and bytes of shingles of a class that are counted against each other in one block, and columns met at a time.
+CLASS_BLOCK, CLASS_BYTES, COLUMNS = 1024, 8 << 20, 4096
+#: Parts of a class when its members are counted.
+SALTS = 32
 _MULTIPLIERS = np.random.RandomState(1_000_003).randint(0, 2**63, N_HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 FEATURES = "doc_id long, n int, key_a long, key_b long, sig binary, bands array<long>"
 
@@ -194,15 +198,68 @@ def with_components(ids: DataFrame, comps: DataFrame) -> DataFrame:
     return ids.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of documents: doc_id, text_id, n_copies, class_id, n_links.
+def similar_counts(sets: list[bytes], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of the sets right each of the sets left is similar to and, where these differ, the other way round; one number a set.
+
+    Sets are rows of a 0/1 matrix whose columns are the shingles that two or more of
+    them have; its products, COLUMNS at a time, are the sizes of all intersections."""
+    values = [np.frombuffer(x, np.uint64) for x in sets]
+    size = np.array([len(v) for v in values])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    same = np.zeros((len(left), len(right)))
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        s, e = np.searchsorted(col, [first, first + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[row[s:e], col[s:e] - first] = 1
+        same += has[left] @ has[right].T
+    links = same / np.maximum(1, size[left][:, None] + size[right][None, :] - same) >= threshold
+    links &= left[:, None] != right[None, :]
+    out = np.zeros(len(sets), np.int64)
+    out[left] += links.sum(axis=1)
+    if not np.array_equal(left, right):
+        out[right] += links.sum(axis=0)
+    return out
+
+
+def count_links(members: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, n_links: to how many others of its class each text is similar, all compared exactly.
+
+    members: doc_id, comp, shingles. A class is cut into blocks of about CLASS_BLOCK texts and
+    at most CLASS_BYTES on average, and met as pairs of blocks, so a class of any size splits; only sums leave a pair of blocks."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS)))
+    parts = salted.groupBy("comp", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.sum("n") / CLASS_BLOCK, F.sum("bytes") / CLASS_BYTES)).cast("int")
+    large = parts.groupBy("comp").agg(blocks.alias("blocks")).where("blocks > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = salted.join(large, ["comp", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = spread.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "shingles")
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        at = np.arange(len(group))
+        left = at[(group["block"] == group["lo"]).to_numpy()]
+        right = at[(group["block"] == group["hi"]).to_numpy()]
+        return pd.DataFrame({"doc_id": group["doc_id"], "n": similar_counts(list(group["shingles"]), left, right, threshold)})
+
+    counts = met.groupBy("comp", "lo", "hi").applyInPandas(count, "doc_id long, n long")
+    return counts.groupBy("doc_id").agg(F.sum("n").alias("n_links"))
+
+
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, with_links: bool = True) -> DataFrame:
+    """One row per row of documents: doc_id, text_id, n_copies, class_id, and n_links if with_links.
 
     Words are runs of letters, numbers and underscores of the lower-cased text; texts
     are compared as sets of runs of WORDS words (a shorter one has one run). text_id is the least doc_id with the
     same set, n_copies how many documents have it. class_id is the least doc_id of
     the documents that links (similarity >= threshold) join, through others too.
-    n_links counts the links of the text to other texts that the join has verified:
-    those to the heads of its buckets, and all that join two classes; members of a class are not paired off.
+    n_links is the number of other texts that are similar to the text; equal sets
+    are one text. All texts of a class are compared for it, exactly and in blocks.
     Null and empty texts and texts without a word are copies of none: each is its own class. Rows that share a
     doc_id count as one document; a row without doc_id has a null text_id and class_id and no links. Other columns are left out.
 
@@ -210,7 +267,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     heads, one at random and the member whose buckets are largest (the text that the others vary), and each member
     is paired with them, so pairs grow with the members, not their square. 3. Pruned and verified, these links give components. 4. In buckets that
     still hold several components, members of different ones are compared in blocks of
-    BLOCK, and what outlives pruning is verified there. So no link between two classes is lost."""
+    BLOCK, and what outlives pruning is verified there. So no link between two classes is lost. 5. A
+    link joins texts of one class, so links are counted within the classes."""
     bound_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     feats = materialize(texts.transform(map_pandas, features, FEATURES), "features")
@@ -241,9 +299,13 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     links = materialize(links.unionByName(more), "all_links")
     comps = components(links)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = with_components(reps.select("doc_id", "key_a", "key_b", "n_copies"), comps).join(ends, "doc_id", "left")
-    known = known.select("key_a", "key_b", F.col("doc_id").alias("text_id"), "n_copies", F.col("comp").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = with_components(reps.select("doc_id", "key_a", "key_b", "n_copies"), comps)
+    known = known.select("key_a", "key_b", F.col("doc_id").alias("text_id"), "n_copies", F.col("comp").alias("class_id"))
+    alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("class_id"))
+    if with_links:
+        ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        counts = count_links(materialize(with_components(ends, comps).join(sets, "doc_id"), "linked"), threshold)
+        known = known.join(counts.withColumnRenamed("doc_id", "text_id"), "text_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        alone = alone.withColumn("n_links", F.lit(0).cast("long"))
     found = worded.select("doc_id", "key_a", "key_b").join(known, ["key_a", "key_b"]).drop("key_a", "key_b")
-    alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone)

@@ -61,7 +61,18 @@ def brute_classes(rows):
     return {i: root(i) for i in ids}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def brute_links(rows):
+    """Of each row, how many different sets are similar to its own."""
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    each = {s for s in sets.values() if s}
+    return {i: sum(a != b and len(a & b) / len(a | b) >= 0.8 for b in each) if a else 0 for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("sizes", [(1024, 8 << 20), (3, 8 << 20), (1024, 2000)])
+def test_near_duplicates_equal_brute_force(spark, sizes, monkeypatch):
+    """Classes of one block, and cut into blocks by texts and by bytes."""
+    monkeypatch.setattr(ngram_join, "CLASS_BLOCK", sizes[0])
+    monkeypatch.setattr(ngram_join, "CLASS_BYTES", sizes[1])
     random.seed(3)
     vocabulary = [f"w{k}" for k in range(400)]
     rows, n = [], 0
@@ -76,12 +87,27 @@ def test_near_duplicates_equal_brute_force(spark):
     got = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_classes(rows)
     assert {i: r["class_id"] for i, r in got.items()} == want
+    assert {i: r["n_links"] for i, r in got.items()} == brute_links(rows)
     copies = {}
     for i, t in rows:
         copies.setdefault(t, []).append(i)
     assert all(got[i]["n_copies"] == len(copies[t]) and got[i]["text_id"] == min(copies[t]) for i, t in rows)
 
 
+def test_counts_by_columns(monkeypatch):
+    """Intersections summed over few columns at a time, with an empty set, within a block and between two."""
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    rng = np.random.RandomState(1)
+    base = rng.permutation(60).astype(np.uint64)
+    sets = [np.sort(np.delete(base, rng.choice(60, k, replace=False))) for k in (0, 1, 2, 5, 9, 20, 40, 60, 3, 4)]
+    near = np.array([[i != j and len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b))) >= 0.8 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    packed, every = [x.tobytes() for x in sets], np.arange(10)
+    assert (ngram_join.similar_counts(packed, every, every, 0.8) == near.sum(axis=1)).all()
+    left, right = every[:4], every[4:]
+    want = np.concatenate([near[:4, 4:].sum(axis=1), near[:4, 4:].sum(axis=0)])
+    assert (ngram_join.similar_counts(packed, left, right, 0.8) == want).all()
+
+
 def test_star_of_variants_is_one_class(spark):
     """Variants that are near the base, but not each other."""
     base = [f"b{k}" for k in range(200)]
@@ -109,6 +135,8 @@ def test_near_duplicates_odd(odd, docs):
     got = ngram_join.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
     by = {r["doc_id"]: r for r in got}
+    assert ngram_join.near_duplicates(odd, with_links=False).columns == ["doc_id", "text_id", "n_copies", "class_id"]
+    assert all(r["n_links"] == 0 for r in got)
     assert by[5]["n_copies"] == 2 and by[1]["class_id"] == 1 and by[None]["class_id"] is None
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
