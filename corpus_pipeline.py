@@ -21,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class of near duplicates; those without doc_id all stay."""
-    found = ngram_join.near_duplicates(docs)
+    found = ngram_join.near_duplicates(docs, with_links=False)
     dropped = found.where("doc_id != class_id").select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
