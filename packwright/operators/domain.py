@@ -16,6 +16,16 @@ def domain_keywords(files: DataFrame) -> DataFrame:
     return files.select(parent.alias("dir"), F.explode(F.array_distinct(words)).alias("keyword")).where((F.length("keyword") > 2) & ~F.col("keyword").isin(*NOISE)).distinct()
 
 
+def folders_of(keywords: DataFrame) -> DataFrame:
+    """keyword, n_dirs, dirs (in order). keywords: keyword, dir."""
+    return keywords.groupBy("keyword").agg(F.array_sort(F.collect_set("dir")).alias("dirs")).select("keyword", F.size("dirs").cast("long").alias("n_dirs"), "dirs")
+
+
+def lookup(keywords: DataFrame, prefix: str) -> DataFrame:
+    """keyword, dir of keywords that start with prefix; the prefix reaches the scan."""
+    return keywords.where(F.col("keyword").startswith(prefix)).distinct()
+
+
 def domain_map(files: DataFrame, top: int = 50) -> DataFrame:
     """keyword, file_count, weight, top_files: by keyword of the path, most files first. files: path, weight."""
     words = F.array_distinct(F.filter(F.split(F.lower("path"), r"[/\-_.\s]+"), lambda w: (F.length(w) > 2) & ~w.isin(*NOISE)))

@@ -24,6 +24,11 @@ def merge(semantic: DataFrame, structural: DataFrame, semantic_weight: float = 0
     return both.select("path", (semantic_weight * F.coalesce("s", F.lit(0.0)) + structural_weight * F.coalesce("p", F.lit(0.0))).alias("score"))
 
 
+def best_of_file(chunks: DataFrame) -> DataFrame:
+    """The best score of each path's chunks; scores of -1 or less don't count."""
+    return chunks.where("score > -1").groupBy("path").agg(F.max("score").alias("score"))
+
+
 def ranked(scores: DataFrame, fetch: int) -> DataFrame:
     """The best `fetch` rows with their rank; ties by path. The window sees no more than `fetch` rows."""
     best = scores.orderBy(F.desc("score"), "path").limit(fetch)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions import text as X
-from packwright.operators import chunks, domain, fuse, graph, lexical, maintain, vector
+from packwright.operators import chunks, domain, fuse, graph, lexical, maintain, measures, vector
 from packwright.sources import files, sinks
 from packwright.streaming import sessions
 
@@ -523,6 +523,80 @@ def pretty_print(spark, sf):
     return chunks.pretty_print(turns)
 
 
+@query(f"WITH {SEMANTIC} SELECT 'file/' || label AS path, round(max(score), 6) AS score FROM c JOIN embeddings USING (vec_id) WHERE score > -1 GROUP BY label")
+def max_chunk_score(spark, sf):
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("file/"), F.col("label").cast("string")).alias("path"))
+    return rounded(fuse.best_of_file(semantic(spark, sf).join(labels, "id").select("path", "score")))
+
+
+@query(f"WITH {WORLD_NODES}, {WORLD_EDGES} SELECT 'node' AS what, kind AS name, count(*) AS n FROM no GROUP BY kind UNION ALL SELECT 'edge', relation, count(*) FROM ed GROUP BY relation")
+def store_counts(spark, sf):
+    return measures.counts_by_kind(*world(spark, sf))
+
+
+@query(f"WITH {FILES} SELECT count(DISTINCT path) AS files, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM f")
+def index_totals(spark, sf):
+    return measures.index_totals(documents(spark, sf).withColumn("tokens", X.token_estimate(F.col("text"))))
+
+
+@query("SELECT event_id, round(sum(value) OVER w, 2) / count(value) OVER w AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 999 PRECEDING)")
+def latency_mean(spark, sf):
+    return measures.running_mean(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "mean")
+
+
+@query("WITH e AS (SELECT event_type, round(value, 2) AS v FROM events WHERE value IS NOT NULL) SELECT event_type, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.95), 4) AS p95, round(quantile_cont(v, 0.99), 4) AS p99 FROM e GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    return measures.percentiles(table(spark, sf, "events"), "event_type", "value")
+
+
+@query(f"WITH {FILES}, k AS (SELECT DISTINCT unnest({KEYWORDS}) AS keyword, source || '/' || lang AS dir FROM f) SELECT keyword, count(*) AS n_dirs, string_agg(dir, ',' ORDER BY dir) AS dirs FROM k GROUP BY keyword")
+def keyword_dirs(spark, sf):
+    return domain.folders_of(domain.domain_keywords(documents(spark, sf))).withColumn("dirs", F.array_join("dirs", ","))
+
+
+@query(f"WITH {FILES}, k AS (SELECT DISTINCT unnest({KEYWORDS}) AS keyword, source || '/' || lang AS dir FROM f) SELECT keyword, dir FROM k WHERE starts_with(keyword, '1')")
+def keyword_lookup(spark, sf):
+    return domain.lookup(domain.domain_keywords(documents(spark, sf)).select("keyword", "dir"), "1")
+
+
+@query(f"WITH {FILES} SELECT path, unnest(regexp_split_to_array(lower(path), '[/_\\-.]')) AS part FROM f")
+def path_tokens(spark, sf):
+    return documents(spark, sf).select("path", F.explode(X.path_parts(F.col("path"))).alias("part"))
+
+
+@query("""SELECT p_partkey, 'world/parts/' || p_partkey || '.py#' || regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') AS id, CASE WHEN regexp_matches(p_name, '^[A-Z]') THEN 'class' ELSE 'function' END AS kind FROM part""")
+def node_ids(spark, sf):
+    path = F.concat(F.lit(".\\world\\parts\\"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    return table(spark, sf, "part").select("p_partkey", X.node_id(path, F.col("p_name")).alias("id"), X.symbol_kind(F.col("p_name")).alias("kind"))
+
+
+@query("SELECT c_custkey, unnest(['world.n' || c_nationkey || '.c' || c_custkey, 'n' || c_nationkey || '.c' || c_custkey, 'c' || c_custkey]) AS module FROM customer")
+def module_suffixes(spark, sf):
+    path = F.concat(F.lit("src/world/n"), F.col("c_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".py"))
+    return table(spark, sf, "customer").select("c_custkey", F.explode(X.module_suffixes(path)).alias("module"))
+
+
+@query(f"WITH {FILES} SELECT path, '<<<CONTENT_abc123>>>' || chr(10) || text || chr(10) || '<<<END_abc123>>>' AS text FROM f")
+def wrap_content(spark, sf):
+    return documents(spark, sf).select("path", X.wrap_untrusted(F.col("text"), "abc123").alias("text"))
+
+
+@query(f"WITH {FILES}, {STRUCTURE}, {TOP} SELECT path, '## ' || path || ' (score ' || printf('%.2f', score) || ')' || chr(10) || chr(10) || '```' || lang || chr(10) || {_redact_sql('text')} || chr(10) || '```' || chr(10) AS fragment FROM o")
+def pack_markdown(spark, sf):
+    return top_files(spark, sf).select("path", sinks.markdown_fragment(F.col("path"), F.col("score"), X.redact(F.col("text")), F.col("lang")).alias("fragment"))
+
+
+@query()
+def pack_yaml(spark, sf):
+    chosen = fuse.budget_prefix(top_files(spark, sf), 50_000).orderBy(F.desc("score"), "path")
+    return spark.createDataFrame([(sinks.pack_yaml(chosen.select("path", "tokens", F.col("text").alias("content")), {"query": "review"}),)], "pack string")
+
+
+@query(f"WITH {FILES} SELECT CAST(to_json({{'type': 'result', 'path': path, 'tokens': length(text) // 4}}) AS VARCHAR) AS line FROM f UNION ALL SELECT CAST(to_json({{'type': 'meta', 'total': count(*)}}) AS VARCHAR) FROM f")
+def pack_ndjson(spark, sf):
+    return sinks.agent_lines(documents(spark, sf), {"path": F.col("path"), "tokens": X.token_estimate(F.col("text"))})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -2,11 +2,13 @@ import io
 import zipfile
 
 import pandas as pd
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from packwright.operators import chunks, fuse, graph, lexical, maintain
+from packwright.plans import settings
 from packwright.sources import files, sinks
 from packwright.streaming import sessions
 
@@ -103,3 +105,39 @@ def test_streams(spark, tmp_path):
     q.stop()
     both = spark.table("limited").join(sessions.rate_limit(events).withColumnRenamed("allowed", "batch"), ["user_id", "event_id"])
     assert both.count() == events.count() and both.where("allowed != batch").count() == 0
+
+
+def test_settings_fall_back_field_by_field():
+    got = settings.settings_from({"format": "pdf", "token_budget": 5, "semantic_weight": 1.5, "include_patterns": ["*.py"], "unknown": 1, "include_tests": 1})
+    assert (got.format, got.token_budget, got.semantic_weight, got.include_patterns, got.include_tests) == ("zip", 5, 0.6, ("*.py",), False)
+    assert settings.settings_from(None) == settings.settings_from([1]) == settings.Settings()
+
+
+def test_limits_paths_and_intents():
+    assert settings.checked_limit(50) == 50
+    for bad in (0, 51):
+        with pytest.raises(ValueError):
+            settings.checked_limit(bad)
+    assert settings.inside("/a/b", "c/../d.py") == "/a/b/d.py" and settings.inside("/a/b", ".") == "/a/b"
+    for bad in ("../bc/x", "/etc/passwd"):
+        with pytest.raises(ValueError):
+            settings.inside("/a/b", bad)
+    assert settings.graph_intent("who calls auth.login?") == ("callers", "auth.login")
+    assert settings.graph_intent("what breaks if I change parse_config") == ("impact", "parse_config")
+    assert settings.graph_intent("session handling") == (None, None)
+
+
+def test_walk_leaves_out_ignored_and_hidden(spark, tmp_path):
+    for name in ("a.py", "build/b.py", "lib/build/c.py", ".cache/d.py", "lib/e.min.js", "lib/f.js", "lib/__init__.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("# made\nbuild/\n*.min.js\n!keep.py\n")
+    assert {r["path"] for r in files.walk(spark, str(tmp_path)).collect()} == {"a.py", "lib/f.js", "lib/__init__.py"}
+    assert ".cache/d.py" in {r["path"] for r in files.walk(spark, "file://" + str(tmp_path), hidden=True).collect()}
+    (tmp_path / ".gitignore").unlink()
+    got = files.walk(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and {(r["content"], r["size"]) for r in got} == {("x", 1)}
+
+
+def test_agent_lines_of_nothing(spark):
+    assert [r["line"] for r in sinks.agent_lines(spark.createDataFrame([], "path string"), {"path": F.col("path")}).collect()] == ['{"type":"meta","total":0}']
