@@ -21,7 +21,8 @@ STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was",
 def lexical_terms(text: Column) -> Column:
     """Distinct terms for BM25: lower case, two characters or more, not all digits; one empty term where none is left."""
     terms = F.filter(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+")), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$"))
-    return F.when(F.size(terms) > 0, terms).otherwise(F.array(F.lit("")))
+    # The one-element transform binds the list to a name, so that it is made once.
+    return F.get(F.transform(F.array(terms), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("")))), F.lit(0))
 
 
 def identifier_parts(text: Column) -> Column:

@@ -12,8 +12,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def postings(chunks: DataFrame) -> DataFrame:
     """id, term, dl: terms are distinct in a chunk, so their frequency there is 1."""
-    terms = chunks.select("id", lexical_terms(F.col("text")).alias("terms"))
-    return terms.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    listed = F.transform(F.array(lexical_terms(F.col("text"))), lambda t: F.transform(t, lambda x: F.struct(F.size(t).alias("dl"), x.alias("term"))))
+    # No list is empty; the outer form keeps the optimizer from making each list again to see that.
+    return chunks.select("id", F.explode_outer(F.get(listed, F.lit(0))).alias("p")).select("id", "p.dl", "p.term")
 
 
 def bm25(chunks: DataFrame, query: list[str]) -> DataFrame:
