@@ -4,6 +4,8 @@ import json
 import random
 import re
 import zlib
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import duckdb
 import numpy as np
@@ -410,6 +412,24 @@ def test_segments_and_tensors(spark):
     assert fixed["tensor"].type.shape == [media.TILE, media.MELS] and fixed.num_rows >= 2
 
 
+def test_features_come_from_stored_tensors(spark, odd, monkeypatch):
+    seen = []
+    monkeypatch.setattr(media, "new_path", lambda s, label, f=media.new_path: (seen.append(f(s, label)), seen[-1])[1])
+    texts = {d[0]: d[1] for d in ODD}
+    rows = media.media_digests(odd).collect()
+    assert len(rows) == len(ODD) and all(r["feature"] == media.Features.of(media.from_media(media.to_media(texts[r["doc_id"]])[0])).digest() for r in rows)
+    files = sorted(Path(urlsplit(seen[0]).path).glob("*.tensors"))
+    for f in files:
+        with pa.OSFile(str(f)) as source:
+            stored = pa.ipc.open_file(source).read_all()
+        assert stored["tensor"].type == pa.fixed_shape_tensor(pa.float32(), (media.TILE, media.MELS)) and {"from_s", "to_s", "spans"} <= set(stored.column_names)
+        # what is stored is what counts: with other values in the files the features differ
+        flat = stored["tensor"].combine_chunks().storage.flatten().to_numpy() + np.float32(1)
+        other = stored.drop_columns("tensor").append_column("tensor", pa.FixedSizeListArray.from_arrays(flat, media.TILE * media.MELS))
+        assert not set(media.digests_of(media.as_fixed_shape(other).combine_chunks().to_batches()[0])) & {r["feature"] for r in rows}
+    assert files and len({f.stem for f in files}) == len(files)
+
+
 # 8 -------------------------------------------------------------------------------------------------------
 
 
