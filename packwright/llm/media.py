@@ -87,9 +87,10 @@ def mel_filters(rate: float) -> np.ndarray:
 
 
 def log_mel(y: np.ndarray, rate: float) -> np.ndarray:
-    """Frames x MELS: log filterbank energies of overlapping windows; at least one frame."""
+    """Frames x MELS: log filterbank energies of overlapping windows; at least one frame. Silence fills the last, so that every sample lies in one."""
     mel = mel_filters(rate)
-    y = np.concatenate([y, np.zeros(max(0, FRAME - len(y)))])
+    # frames fade out, so the last sample must lie in the middle of one
+    y = np.concatenate([y, np.zeros(FRAME + max(0, -(-(len(y) - (FRAME + HOP) // 2) // HOP)) * HOP - len(y))])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for at in range(0, len(frames), 1024):

@@ -412,6 +412,17 @@ def test_segments_and_tensors(spark):
     assert fixed["tensor"].type.shape == [media.TILE, media.MELS] and fixed.num_rows >= 2
 
 
+@pytest.mark.parametrize("size", [64, 320, 384, 448, 1024, 1088, 1152, 1216, 5056])
+def test_features_reach_the_last_byte(size):
+    payload = np.random.RandomState(size).randint(32, 127, size).astype(np.uint8)
+    whole = media.Features.of(payload.tobytes())
+    for k in range(max(32, size - 200), size):
+        other = payload.copy()
+        other[k] ^= 16
+        assert media.Features.of(other.tobytes()).digest() != whole.digest(), k
+    assert len(media.log_mel(np.ones(140), 8000)) == 1 and len(media.log_mel(np.ones(141), 8000)) == 2
+
+
 def test_features_come_from_stored_tensors(spark, odd, monkeypatch):
     seen = []
     monkeypatch.setattr(media, "new_path", lambda s, label, f=media.new_path: (seen.append(f(s, label)), seen[-1])[1])
