@@ -118,13 +118,13 @@ def blocks(page: str) -> list[dict]:
 
 
 def first_pass(b: dict) -> str:
-    """good, bad, near (nearly good) or short, by link density, length and stop-word density."""
+    """good, bad, near (nearly good) or short, by link density, length and stop-word density; within an article only dropped elements are bad."""
     n = len(b["text"])
     links = b["linked"] / max(1, len(b["text"].replace(" ", "")))
-    if b["drop"] or links > LINK_DENSITY or "©" in b["text"]:
+    if b["drop"] or links > LINK_DENSITY and not b["keep"]:
         return "bad"
     if n < LENGTH_LOW:
-        return "bad" if b["linked"] else "short"
+        return "short"
     words = re.findall(r"[^\W\d_]+", b["text"].lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS_HIGH:
@@ -140,6 +140,11 @@ def classify(found: list[dict]) -> list[bool]:
     Where both sides differ, a nearly good block is kept; a short one follows the nearer
     side, and its element (article, main) or else its being a heading before good text settles what is left."""
     kinds = [first_pass(b) for b in found]
+    # a short line with a copyright sign before or after all longer text of the page is no part of that
+    long = [k for k, b in enumerate(found) if not b["drop"] and len(b["text"]) >= LENGTH_LOW] or [k for k, b in enumerate(found) if not b["drop"]]
+    for k, b in enumerate(found):
+        if kinds[k] == "short" and "©" in b["text"] and not b["keep"] and not (long and long[0] < k < long[-1]):
+            kinds[k] = "bad"
     before, after = [("edge", REACH)] * len(kinds), [("edge", REACH)] * len(kinds)
     for side, order in ((before, range(len(kinds))), (after, range(len(kinds) - 1, -1, -1))):
         last, away = "edge", REACH

@@ -353,6 +353,16 @@ def test_html():
         assert isinstance(html_extract.main_text(broken), str)
 
 
+def test_html_article_keeps_links_and_copyright():
+    cited = f"The notice © 2001 is cited here. {STOPPED}"
+    links = "<p><a href=x>One</a> <a href=y>Two</a></p>"
+    said = html_extract.main_text(f"<article><p>See the <a href=r>full report</a> today.</p><p>{cited}</p>{links}<p>&copy; is a sign.</p></article><p>&copy; 2024 Us</p>")
+    assert said == f"See the full report today.\n{cited.strip()}\nOne Two\n© is a sign."
+    body = f"<p>{STOPPED * 3}</p>"
+    said = html_extract.main_text(f"<body>{body}<p>See the long and full <a href=r>report</a>.</p><p>© marks it.</p><p>{cited * 3}</p>{body}<div>© 2024 Us</div>{links}")
+    assert said == "\n".join([(STOPPED * 3).strip(), "See the long and full report.", "© marks it.", (cited * 3).strip(), (STOPPED * 3).strip()])
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_extract.extract(pages).collect():
