@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +35,7 @@ DROP_WORDS = frozenset(
     copyright legal disclaimer skip complementary contentinfo form""".split()
 )
 KEEP_TAGS = frozenset(("article", "main"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LINK_DENSITY, LENGTH_LOW, LENGTH_HIGH, STOPS_LOW, STOPS_HIGH = 0.33, 70, 200, 0.20, 0.30
 #: Blocks of other kinds this far away don't decide about a short one.
 REACH = 200
@@ -43,31 +45,42 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
 _SPLIT = re.compile(r"[a-z]+")
 
 
-def _marks(tag: str, rest: str) -> bool:
-    """Whether attributes say that the element is not part of the article."""
+def _marks(tag: str, rest: str) -> str:
+    """Whether attributes say that the element is not part of the article: "hidden", "word" (of class, id or role) or ""."""
+    found = ""
     for m in _ATTR.finditer(rest):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", *KEEP_TAGS):
-            words = _SPLIT.findall(value)
-            if DROP_WORDS & set(words):
-                return True
-    return False
+            return "hidden"
+        if name in ("class", "id", "role") and tag not in ("html", "body", *KEEP_TAGS) and DROP_WORDS & set(_SPLIT.findall(value)):
+            found = "word"
+    return found
 
 
 def blocks(page: str) -> list[dict]:
-    """Blocks in page order: text, characters within links, whether dropped by their element, kept by it, and whether a heading."""
+    """Blocks in page order: text, characters within links, whether dropped by their element, kept by it, and whether a heading.
+
+    A word of class, id or role doesn't drop what wraps the article: an element around main, or, where no article or main stands outside
+    of dropped elements, one around an article or with more than half of the page's text. A main also stays within other dropped elements
+    than hidden ones, an article within a form."""
     out: list[dict] = []
+    wraps: dict[int, str] = {}  # marked elements around article or main, by number
+    marked = 0
     text: list[str] = []
     linked = at = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, kept
+    stack: list[tuple[str, str, int, bool]] = []  # tag, dropped ("", tag, hidden), number if dropped by a word, kept
+
+    def dropped() -> bool:
+        # a main or article resets what is around it, but for elements within another one
+        first = next((k for k, s in enumerate(stack) if s[3]), 0)
+        resets = {"main": ("form", *DROP_TAGS, "header"), "article": ("form",)}.get(stack[first][0], ()) if stack else ()
+        return any(s[1] and not (k < first and s[1] == "tag" and s[0] in resets) for k, s in enumerate(stack))
 
     def end_block() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            out.append({"text": joined, "linked": linked, "drop": any(s[1] for s in stack), "keep": any(s[2] for s in stack), "heading": any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)})
+            out.append({"text": joined, "linked": linked, "drop": dropped(), "words": [s[2] for s in stack if s[2]], "keep": any(s[3] for s in stack), "heading": any(s[0] in HEADINGS for s in stack)})
         text.clear()
         linked = 0
 
@@ -92,7 +105,7 @@ def blocks(page: str) -> list[dict]:
         if m["close"]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if depth is not None:
-                if any(s[1] for s in stack[depth:]):
+                if any(s[1] or s[2] for s in stack[depth:]):
                     end_block()
                 del stack[depth:]
             continue
@@ -107,13 +120,28 @@ def blocks(page: str) -> list[dict]:
             inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK_TAGS), None)
             if inner is not None and stack[inner][0] == tag:
                 del stack[inner:]
-        inside = any(s[2] for s in stack)
-        drop = tag in DROP_TAGS or tag == "header" and not inside or _marks(tag, m["rest"])
-        if drop:
+        inside = any(s[3] for s in stack)
+        marks = _marks(tag, m["rest"])
+        drop = "hidden" if marks == "hidden" else "tag" if tag in DROP_TAGS or tag == "header" and not inside else ""
+        word = marks == "word" and not (inside and tag in ("header", *HEADINGS))
+        if drop or word:
             end_block()
-        stack.append((tag, drop, tag in KEEP_TAGS))
+        if tag in KEEP_TAGS and not inside:
+            for s in stack:
+                if s[2] and wraps.get(s[2]) != "main":
+                    wraps[s[2]] = tag
+        marked += word
+        stack.append((tag, drop, marked if word else 0, tag in KEEP_TAGS))
     add(page[at:])
     end_block()
+    outside = any(b["keep"] and not b["drop"] and not b["words"] for b in out)
+    size: Counter[int] = Counter()
+    for b in out:
+        for n in () if b["drop"] else (0, *b["words"]):
+            size[n] += len(b["text"])
+    stays = {n for n in range(1, marked + 1) if wraps.get(n) == "main" or not outside and (n in wraps or 2 * size[n] > size[0])}
+    for b in out:
+        b["drop"] = b["drop"] or not stays.issuperset(b.pop("words"))
     return out
 
 

@@ -363,6 +363,22 @@ def test_html_article_keeps_links_and_copyright():
     assert said == "\n".join([(STOPPED * 3).strip(), "See the long and full report.", "© marks it.", (cited * 3).strip(), (STOPPED * 3).strip()])
 
 
+def test_html_wrappers_with_drop_words():
+    text = (STOPPED * 3).strip()
+    noise = f'<div class="sidebar">{STOPPED}</div>'
+    for page in (
+        f'<div class="content-sidebar-wrap"><main><p>{text}</p></main>{noise}</div>',
+        f'<div class="layout no-sidebar"><article><p>{text}</p></article>{noise}</div>',
+        f'<div class="has-nav"><div><p>{text}</p><p>{text}</p></div>{noise}</div>',
+        f'<form><div id="form"><main><p>{text}</p></main></div></form>',
+        f'<header><main><p>{text}</p></main></header>',
+    ):
+        assert set(html_extract.main_text(page).split("\n")) == {text}, page
+    assert html_extract.main_text(f'<article><header class="entry-header"><h1 class="banner">Title</h1></header><p>{text}</p></article>') == f"Title\n{text}"
+    comments = f'<section class="comments"><article><p>{STOPPED * 9}</p></article></section>'
+    assert html_extract.main_text(f"<article><p>{text}</p>{comments}</article>{comments}<p hidden>{text}</p>") == text
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_extract.extract(pages).collect():
