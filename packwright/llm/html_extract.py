@@ -37,8 +37,6 @@ DROP_WORDS = frozenset(
 KEEP_TAGS = frozenset(("article", "main"))
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LINK_DENSITY, LENGTH_LOW, LENGTH_HIGH, STOPS_LOW, STOPS_HIGH = 0.33, 70, 200, 0.20, 0.30
-#: Blocks of other kinds this far away don't decide about a short one.
-REACH = 200
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
@@ -166,16 +164,17 @@ def classify(found: list[dict]) -> list[bool]:
     """Whether each block is main text: short and nearly good ones go with the nearest decided blocks on either side.
 
     Where both sides differ, a nearly good block is kept; a short one follows the nearer
-    side, and its element (article, main) or else its being a heading before good text settles what is left."""
+    side, and its element (article, main) or else its being a heading before good text settles what is left. At the page's edge
+    only the decided side counts, at any distance. Where that leaves nothing of a page, all blocks stay that aren't bad."""
     kinds = [first_pass(b) for b in found]
     # a short line with a copyright sign before or after all longer text of the page is no part of that
     long = [k for k, b in enumerate(found) if not b["drop"] and len(b["text"]) >= LENGTH_LOW] or [k for k, b in enumerate(found) if not b["drop"]]
     for k, b in enumerate(found):
         if kinds[k] == "short" and "©" in b["text"] and not b["keep"] and not (long and long[0] < k < long[-1]):
             kinds[k] = "bad"
-    before, after = [("edge", REACH)] * len(kinds), [("edge", REACH)] * len(kinds)
+    before, after = [("edge", 0)] * len(kinds), [("edge", 0)] * len(kinds)
     for side, order in ((before, range(len(kinds))), (after, range(len(kinds) - 1, -1, -1))):
-        last, away = "edge", REACH
+        last, away = "edge", 0
         for k in order:
             side[k] = (last, away)
             if kinds[k] in ("good", "bad"):
@@ -187,15 +186,15 @@ def classify(found: list[dict]) -> list[bool]:
             out.append(kinds[k] == "good")
             continue
         (left, far_left), (right, far_right) = before[k], after[k]
-        if b["keep"] or left == right == "good":
+        if b["keep"] or "bad" not in (left, right):
             out.append(True)
         elif kinds[k] == "near":
-            out.append("good" in (left, right) or left == right == "edge")
+            out.append("good" in (left, right))
         elif b["heading"]:
             out.append(right == "good")
         else:
             out.append(left == "good" and far_left <= far_right or right == "good" and far_right < far_left)
-    return out
+    return out if any(out) else [kind != "bad" for kind in kinds]
 
 
 def main_text(page: str | None) -> str:

@@ -379,6 +379,19 @@ def test_html_wrappers_with_drop_words():
     assert html_extract.main_text(f"<article><p>{text}</p>{comments}</article>{comments}<p hidden>{text}</p>") == text
 
 
+@pytest.mark.parametrize("n", [1, 300, 1000])
+def test_html_short_lines_follow_the_decided_side(n):
+    lines = [f"Line {k} of it." for k in range(n)]
+    body, text = "".join(f"<p>{x}</p>" for x in lines), (STOPPED * 3).strip()
+    nav = "<nav><a href=x>Home</a></nav>"
+    assert html_extract.main_text(f"<p>{text}</p>{body}").split("\n") == [text, *lines]
+    assert html_extract.main_text(f"{body}<p>{text}</p>").split("\n") == [*lines, text]
+    assert html_extract.main_text(body).split("\n") == lines
+    assert html_extract.main_text(f"{nav}{body}<footer>Us</footer>").split("\n") == lines
+    assert html_extract.main_text(f"{nav}{body}<p>{text}</p><h2>End</h2>").split("\n")[-2:] == [text, "End"]
+    assert html_extract.main_text(nav) == ""
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_extract.extract(pages).collect():
