@@ -41,6 +41,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
 _SPLIT = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def _marks(tag: str, rest: str) -> str:
@@ -143,21 +144,32 @@ def blocks(page: str) -> list[dict]:
     return out
 
 
-def first_pass(b: dict) -> str:
-    """good, bad, near (nearly good) or short, by link density, length and stop-word density; within an article only dropped elements are bad."""
+def stop_density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def covered(found: list[dict]) -> bool:
+    """Whether the page's language has stop words here: a quarter of its longer text reaches STOPS_LOW."""
+    long = [b for b in found if not b["drop"] and len(b["text"]) >= LENGTH_LOW]
+    return 4 * sum(len(b["text"]) for b in long if stop_density(b["text"]) >= STOPS_LOW) >= sum(len(b["text"]) for b in long)
+
+
+def first_pass(b: dict, known: bool = True) -> str:
+    """good, bad, near (nearly good) or short, by link density, length and stop-word density; within an article only dropped elements are bad.
+
+    Longer blocks with few stop words (tables, code, names) are as undecided as short ones; in a language that isn't
+    known, length decides."""
     n = len(b["text"])
     links = b["linked"] / max(1, len(b["text"].replace(" ", "")))
     if b["drop"] or links > LINK_DENSITY and not b["keep"]:
         return "bad"
     if n < LENGTH_LOW:
         return "short"
-    words = re.findall(r"[^\W\d_]+", b["text"].lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOPS_HIGH:
+    stops = stop_density(b["text"])
+    if stops >= STOPS_HIGH or not known:
         return "good" if n > LENGTH_HIGH else "near"
-    if stops >= STOPS_LOW or b["keep"]:
-        return "near"
-    return "bad"
+    return "near" if stops >= STOPS_LOW or b["keep"] else "short"
 
 
 def classify(found: list[dict]) -> list[bool]:
@@ -166,11 +178,12 @@ def classify(found: list[dict]) -> list[bool]:
     Where both sides differ, a nearly good block is kept; a short one follows the nearer
     side, and its element (article, main) or else its being a heading before good text settles what is left. At the page's edge
     only the decided side counts, at any distance. Where that leaves nothing of a page, all blocks stay that aren't bad."""
-    kinds = [first_pass(b) for b in found]
+    known = covered(found)
+    kinds = [first_pass(b, known) for b in found]
     # a short line with a copyright sign before or after all longer text of the page is no part of that
     long = [k for k, b in enumerate(found) if not b["drop"] and len(b["text"]) >= LENGTH_LOW] or [k for k, b in enumerate(found) if not b["drop"]]
     for k, b in enumerate(found):
-        if kinds[k] == "short" and "©" in b["text"] and not b["keep"] and not (long and long[0] < k < long[-1]):
+        if len(b["text"]) < LENGTH_LOW and "©" in b["text"] and not b["keep"] and not (long and long[0] < k < long[-1]):
             kinds[k] = "bad"
     before, after = [("edge", 0)] * len(kinds), [("edge", 0)] * len(kinds)
     for side, order in ((before, range(len(kinds))), (after, range(len(kinds) - 1, -1, -1))):

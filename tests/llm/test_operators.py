@@ -392,6 +392,20 @@ def test_html_short_lines_follow_the_decided_side(n):
     assert html_extract.main_text(nav) == ""
 
 
+@pytest.mark.parametrize("words", ["все люди рождаются свободными и равными в своём достоинстве", "wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心"])
+def test_html_languages_without_stop_words(words):
+    rng = random.Random(words)
+    for _ in range(20):
+        parts = [" ".join([words] * n) + "." for n in (9, *(rng.choice((1, 3, 5, 9)) for _ in range(7)), 9)]
+        page = "<nav><a href=x>A</a></nav><p><a href=y>" + words * 4 + "</a></p>" + "".join(f"<p>{x}</p>" for x in parts) + "<footer>" + words * 5 + "</footer>"
+        assert html_extract.main_text(page).split("\n") == parts
+
+
+def test_html_code_and_names_between_paragraphs():
+    text, code = (STOPPED * 3).strip(), "x = f(y); " * 10
+    assert html_extract.main_text(f"<p>{text}</p><p>Code:</p><pre>{code}</pre><p>So.</p><p>{text}</p>").split("\n") == [text, "Code:", code.strip(), "So.", text]
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_extract.extract(pages).collect():
