@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packwright.llm import decontam, langid, ngram_join, packing, quality
 from packwright.llm.common import materialize, table
 
+KEY = "_row_key"
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels of these, doesn't reject."""
@@ -19,18 +22,29 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.keep_known(docs)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written so that it stays: doc_id may be null or repeat."""
+    return materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near duplicates; those without doc_id all stay."""
-    found = ngram_join.near_duplicates(docs, with_links=False)
-    dropped = found.where("doc_id != class_id").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The row of least doc_id (null last) of each class of near duplicates; rows that share a doc_id are compared by their texts as any others."""
+    rows = keyed(docs)
+    found = ngram_join.near_duplicates(by_key(rows), with_links=False).select(F.col("doc_id").alias(KEY), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(KEY))).getField(KEY)
+    stays = rows.select(KEY, "doc_id").join(found, KEY).groupBy("class_id").agg(first.alias(KEY))
+    return rows.join(stays, KEY, "left_semi").select(docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold no benchmark item."""
+    rows = keyed(docs)
+    leaks = decontam.find_leaks(by_key(rows), table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

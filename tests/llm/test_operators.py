@@ -573,3 +573,17 @@ def test_pipeline(spark, docs, odd):
         assert part.where("doc_id = 5").count() <= 2
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
     assert part.where(F.col("text").isNull()).count() == 0
+
+
+def test_pipeline_decides_by_row(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, a), (None, a), (7, a), (7, b), (7, c), (8, c), (3, b + " end"), (None, leak), (9, leak), (9, a + " " + c), (None, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5) for i, t in rows], DOC)
+    pairs = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    want = [(7, a), (7, c), (3, b + " end"), (9, leak), (9, a + " " + c), (None, None)]
+    assert pairs(corpus_pipeline.one_of_each_group(spark, table, SF)) == sorted(want, key=str)
+    assert pairs(corpus_pipeline.no_benchmark(spark, table, SF)) == sorted([r for r in rows if r[1] != leak], key=str)
