@@ -4,41 +4,46 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate
+from array import array
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from packwright.llm.common import bound_batches, map_pandas, materialize, new_path
 from packwright.llm.tokens import Encoder
 
 END_ID = 1
-#: Bytes of text of one shard, about.
-SHARD_BYTES = 16 << 20
-MANIFEST = "shard int, name string, first_doc long, n_docs long, n_tokens long"
+#: Bytes of text of one shard, about: at least (or there is a shard for each shuffle partition) and at most.
+LEAST_BYTES, SHARD_BYTES = 1 << 20, 256 << 20
+#: Shards whose bases are summed in one task; documents and ids that are read at once.
+GROUP_SHARDS, READ_DOCS, READ_IDS = 1024, 1024, 1 << 20
+MANIFEST = "shard int, name string, n_docs long, n_tokens long"
 
 
 def open_store(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url)
 
 
-def read_flat(url: str, dtype: str) -> np.ndarray:
-    """A file's numbers: memory-mapped where the store is a mounted folder, else read."""
+def open_flat(url: str, dtype: str) -> Callable[[int, int], np.ndarray]:
+    """Reads numbers a to z of a file: memory-mapped where the store is a mounted folder, else by ranges."""
+    fs, path = open_store(url)
     if urlsplit(url).scheme in ("", "file"):
         path = unquote(urlsplit(url).path)
-        return np.memmap(path, dtype, "r") if open_store(url)[0].get_file_info(path).size else np.zeros(0, dtype)
-    fs, path = open_store(url)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.readall(), dtype)
+        mapped = np.memmap(path, dtype, "r") if fs.get_file_info(path).size else np.zeros(0, dtype)
+        return lambda a, z: mapped[a:z]
+    f, width = fs.open_input_file(path), np.dtype(dtype).itemsize
+    return lambda a, z: np.frombuffer(f.read_at((z - a) * width, a * width), dtype)
 
 
 def write_shards(documents: DataFrame, folder: str, tokenizer: str, dtype: str, end_id: int = END_ID) -> DataFrame:
-    """Write three files for each range of doc_id and return the manifest, one row per shard.
+    """Write three files for each range of doc_id and return the manifest, one row per shard, shards numbered in the order of their documents.
 
     name.bin: ids (dtype, little-endian); name.idx: n_docs + 1 offsets (int64, in
     tokens); name.doc: doc_id (int64, the least value for null). Each attempt of a task writes under its own name,
@@ -49,7 +54,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, dtype: str,
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], dtype).tobytes()
         fs, base = open_store(folder)
-        name, docs, ends, out = uuid.uuid4().hex, [], [0], None
+        name, docs, ends, out = uuid.uuid4().hex, array("q"), array("q", [0]), None
         for b in batches:
             out = out or fs.open_output_stream(f"{base}/{name}.bin")
             for doc, said in zip(b["doc_id"], encoder.encode_many([t or "" for t in b["text"]]), strict=True):
@@ -57,51 +62,58 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str, dtype: str,
                 if len(ids) and ids.max() > limit:
                     raise ValueError(f"token id {ids.max()} does not fit {dtype}")
                 out.write(ids.astype(dtype).tobytes() + end)
-                docs.append(doc)
+                docs.append(int(doc))
                 ends.append(ends[-1] + len(ids) + 1)
         if out:
             out.close()
             for kind, values in (("idx", ends), ("doc", docs)):
                 with fs.open_output_stream(f"{base}/{name}.{kind}") as f:
                     f.write(np.array(values, "<i8").tobytes())
-            yield pd.DataFrame({"shard": [0], "name": [name], "first_doc": [docs[0]], "n_docs": [len(docs)], "n_tokens": [ends[-1]]})
+            yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "name": [name], "n_docs": [len(docs)], "n_tokens": [ends[-1]]})
 
     bound_batches(documents.sparkSession)
     least = F.lit(-(2**63)).cast("long")
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    few = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20)))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    few = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES))
     shards = max(1, few, -(-size // SHARD_BYTES))
-    rows = rows.repartitionByRange(int(shards), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the last key parts rows that are alike, should they be many
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(int(shards), "doc_id", "hash", "at").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     fs, base = open_store(folder)
     fs.create_dir(base, recursive=True)
     return materialize(rows.transform(map_pandas, write, MANIFEST), "manifest")
 
 
-def read_shards(manifest: DataFrame, folder: str, dtype: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 from the files.
+def with_bases(manifest: DataFrame) -> DataFrame:
+    """The manifest with base, the ids of all shards before each: sums within groups of shards, and over the groups, so no task has them all."""
+    grouped = manifest.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy("group").agg(F.sum("n_tokens").alias("total"))
+    ahead = sums.select("group", F.coalesce(F.sum("total").over(before(Window.orderBy("group"))), F.lit(0)).alias("ahead"))
+    own = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("group").orderBy("shard"))), F.lit(0))
+    return grouped.withColumn("own", own).join(F.broadcast(ahead), "group").select("shard", "name", "n_docs", "n_tokens", (F.col("own") + F.col("ahead")).alias("base"))  # a row for GROUP_SHARDS shards
 
-    The manifest has a row per shard, not per document, so the driver orders it and
-    takes the prefix sums of the token counts as the shards' bases."""
-    spark = manifest.sparkSession
-    order = sorted(manifest.collect(), key=lambda r: (r["first_doc"], r["name"]))
-    bases = accumulate([0, *(r["n_tokens"] for r in order)])
-    shards = [(k, r["name"], b, r["n_docs"], r["n_tokens"]) for k, (r, b) in enumerate(zip(order, bases, strict=False))]
+
+def read_shards(manifest: DataFrame, folder: str, dtype: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 from the files."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, base in zip(batch["name"], batch["base"], strict=True):
-                ids, offsets, docs = (read_flat(f"{folder}/{name}.{kind}", t) for kind, t in (("bin", dtype), ("idx", "<i8"), ("doc", "<i8")))
-                for at in range(0, len(docs), 1024):
-                    span = offsets[at : at + 1025]
-                    doc = pd.Series(docs[at : at + 1024]).astype("Int64")
-                    yield pd.DataFrame({
-                        "doc_id": doc.mask(doc == -(2**63)), "start": base + span[:-1], "n_tokens": np.diff(span),
-                        "ids_crc32": [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(span[:-1], span[1:], strict=True)],
-                    })
-
-    table = spark.createDataFrame(shards, "shard int, name string, base long, n_docs long, n_tokens long")
-    return table.repartition(max(1, len(shards))).transform(map_pandas, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for name, base, n_docs in zip(batch["name"], batch["base"].astype(int), batch["n_docs"].astype(int), strict=True):
+                ids, offsets, docs = (open_flat(f"{folder}/{name}.{kind}", t) for kind, t in (("bin", dtype), ("idx", "<i8"), ("doc", "<i8")))
+                for at in range(0, n_docs, READ_DOCS):
+                    span = np.array(offsets(at, min(at + READ_DOCS, n_docs) + 1))
+                    doc, crc, held = pd.Series(np.array(docs(at, at + len(span) - 1))).astype("Int64"), [], None
+                    for s, e in zip(span[:-1].tolist(), span[1:].tolist(), strict=True):
+                        if held is None or e > held[1]:
+                            upto = max(e, min(int(span[-1]), s + READ_IDS))
+                            held = (s, upto, ids(s, upto))
+                        crc.append(zlib.crc32(held[2][s - held[0] : e - held[0]].astype("<u4").tobytes()))
+                    yield pd.DataFrame({"doc_id": doc.mask(doc == -(2**63)), "start": base + span[:-1], "n_tokens": np.diff(span), "ids_crc32": crc})
+
+    placed = with_bases(manifest).select("name", "base", "n_docs")
+    return placed.repartition(max(1, manifest.count())).transform(map_pandas, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(documents: DataFrame, tokenizer: str, dtype: str = "<u2", end_id: int = END_ID, folder: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from packwright.llm import chat, decontam, html_extract, langid, media, ngram_join, packing, quality, queries, token_output, tokens, url_filter
 
@@ -239,18 +240,44 @@ def test_language_odd(odd):
 # 5, 9 ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_tokens_equal_library(name):
-    encoder = tokens.Encoder.of(public_tokenizers.path(name))
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def library_ids(tokenizer, texts):
+    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
 
-    @settings(max_examples=300, deadline=None)
-    @given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="ab1 2\n\t'srtdvmle!?.É́ß漢½  　Zz", max_size=60)), max_size=6))
+@pytest.mark.parametrize("sizes", [(1 << 19, 1 << 18), (7, 1 << 18), (40, 5)])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_equal_library(name, sizes, monkeypatch):
+    """Texts whole and cut into chunks, with a table that starts anew all the time, and with strings of added tokens."""
+    monkeypatch.setattr(tokens, "CHUNK", sizes[0])
+    monkeypatch.setattr(tokens, "TABLE_PIECES", sizes[1])
+    tokens._tables.clear()
+    encoder, own = tokens.Encoder(public_tokenizers.path(name)), library(name)
+    added = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "a", " ", " b c", "\n"]), max_size=5).map("".join)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.one_of(st.text(max_size=40), added, st.text(alphabet="ab1 2\n\t'srtdvmle!?.É́ß漢½  　Zz", max_size=60)), max_size=6))
     def same(texts):
-        assert encoder.encode_many(texts) == [encoder.whole(t) for t in texts]
+        assert encoder.encode_many(texts) == library_ids(own, texts)
 
     same()
-    newer = [":\U00013460", "a\U00013460b é", "1\U00010d40 2", "x\ua7cbY", "!\uffff?", "plain é"]
-    assert encoder.encode_many(newer) == [encoder.whole(t) for t in newer]
+    newer = [":\U00013460", "a\U00013460b é", "1\U00010d40 2", "x\ua7cbY", "!\uffff?", "plain é", "a <|endoftext|> b"]
+    assert encoder.encode_many(newer) == library_ids(own, newer)
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["a", "it's", "1 2", "x,  y", "\n\nb", "É"]) + str(rng.randrange(50)) for _ in range(3000))
+    assert encoder.encode_many([long, "", long[:9]]) == library_ids(own, [long, "", long[:9]])
+    tokens._tables.clear()
+
+
+def test_table_of_pieces_stays_small():
+    encoder, rng = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
+    for _ in range(8):
+        encoder.encode_many([" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(60_000))])
+        assert len(encoder.table.key) <= tokens.TABLE_PIECES and (np.diff(encoder.table.key.astype(object)) > 0).all()
+    assert max(len(x) for x in tokens._tables.values()) <= max(2 * tokens.CHUNK, 0x110000)
 
 
 def check_pieces(rows, texts, encode):
@@ -283,9 +310,9 @@ def check_layout(rows):
 def test_packing(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(docs, path).collect()
-    library = tokens.Encoder.of(path).tokenizer
+    own = Tokenizer.from_file(path)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    check_pieces(rows, texts, lambda t: library.encode(t, add_special_tokens=False).ids)
+    check_pieces(rows, texts, lambda t: own.encode(t, add_special_tokens=False).ids)
     total = sum(r["length"] for r in rows)
     assert check_layout(rows) <= total / 1024 * 1.05 + 2
 
@@ -320,13 +347,17 @@ def test_plan_places_everything_once(lengths):
         assert at <= 64
 
 
-def test_token_files_round_trip(spark, docs, odd, tmp_path):
+@pytest.mark.parametrize("small", [False, True])
+def test_token_files_round_trip(spark, docs, odd, tmp_path, small, monkeypatch):
+    if small:  # several shards in several groups, read in short ranges
+        for name, value in (("LEAST_BYTES", 1), ("GROUP_SHARDS", 2), ("READ_DOCS", 7), ("READ_IDS", 50)):
+            monkeypatch.setattr(token_output, name, value)
     path = public_tokenizers.path("word_bpe_49k.json")
-    library = tokens.Encoder.of(path).tokenizer
+    own = Tokenizer.from_file(path)
     rows = token_output.token_files(docs.repartition(3), path, folder=f"file://{tmp_path}/out").orderBy("doc_id").collect()
     at = 0
     for r, d in zip(rows, docs.orderBy("doc_id").collect(), strict=True):
-        ids = [*library.encode(d["text"] or "", add_special_tokens=False).ids, token_output.END_ID]
+        ids = [*own.encode(d["text"] or "", add_special_tokens=False).ids, token_output.END_ID]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     got = token_output.token_files(odd, path).orderBy("start").collect()
