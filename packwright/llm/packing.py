@@ -16,8 +16,8 @@ from packwright.llm.common import bound_batches, map_pandas, materialize
 from packwright.llm.tokens import Encoder
 
 END_ID, MAX_TOKENS = 2, 1024
-#: Pieces of one length that are numbered in one group.
-GROUP_ROWS = 20_000
+#: Pieces of one length that are numbered in one group, at least; and about how many groups there are at most, beside one for each length.
+GROUP_ROWS, GROUPS = 256, 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
@@ -139,21 +139,23 @@ def pack(documents: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end
     Null and empty texts are one piece of one token (end_id). Rows with one doc_id, or none, are
     packed each by itself. The driver sees the histogram (max_tokens numbers) and the
     plan made from it. Pieces of one length are told apart by a rank; a length that
-    many share is numbered in salted groups of about GROUP_ROWS rows, so none
-    outgrows a task. Other columns of documents are left out; an empty table gives none."""
+    many share is numbered in salted groups of about GROUP_ROWS rows (more where there would be over GROUPS of them), so none
+    outgrows a task. Very long texts are tokenized whole and cut. Columns of documents other than doc_id and text, whatever their
+    names, are left out; an empty table gives no rows."""
     spark = documents.sparkSession
     rows = materialize(pieces(documents, tokenizer, max_tokens, end_id), "pieces")
     histogram = np.zeros(max_tokens + 1, np.int64)
     for length, n in rows.groupBy("length").count().collect():
         histogram[length] = n
     runs, _ = plan(histogram, max_tokens)
-    groups = F.element_at(F.lit([int(-(-n // GROUP_ROWS)) or 1 for n in histogram]), F.col("length").cast("int") + 1)
+    per_group = max(GROUP_ROWS, int(histogram.sum()) // GROUPS)
+    groups = F.element_at(F.lit([int(-(-n // per_group)) or 1 for n in histogram]), F.col("length").cast("int") + 1)
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "salt"), groups.cast("long")).cast("int"))
     bases = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = bases.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     local = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = rows.withColumn("local", F.row_number().over(local) - 1).join(bases, ["length", "salt"])
+    ranked = rows.withColumn("local", F.row_number().over(local) - 1).join(F.broadcast(bases), ["length", "salt"])  # at most GROUPS + max_tokens rows
     ranked = ranked.withColumn("rank", F.col("local") + F.col("base"))
 
     by_length: dict[int, list[tuple[int, int, int, int]]] = {}
