@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,10 @@ BLOCK = 256
 CLASS_BLOCK, CLASS_BYTES, COLUMNS = 1024, 8 << 20, 4096
 #: Parts of a class when its members are counted.
 SALTS = 32
+#: Rows of one key that meet in one task, at least; keys with more are broadcast, and there are at most about HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 256, 1 << 16
 _MULTIPLIERS = np.random.RandomState(1_000_003).randint(0, 2**63, N_HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-FEATURES = "doc_id long, n int, key_a long, key_b long, sig binary, bands array<long>"
+FEATURES = "doc_id long, text_hash long, n int, key_a long, key_b long, sig binary, bands array<long>"
 
 
 def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,13 +53,13 @@ def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, i in enumerate(full):
             sig[i] = mins[row].astype("<u2").tobytes()
             bands[i] = band[row].view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "key_a": key_a.view(np.int64), "key_b": key_b.view(np.int64), "sig": sig, "bands": bands})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": n, "key_a": key_a.view(np.int64), "key_b": key_b.view(np.int64), "sig": sig, "bands": bands})
 
 
 def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         hashes, bounds = shingle_hashes(*word_hashes(list(b["text"])), WORDS)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "shingles": [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]})
+        yield pd.DataFrame({"uid": b["uid"], "shingles": [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]})
 
 
 def least_matches(threshold: float = THRESHOLD) -> np.ndarray:
@@ -100,43 +102,89 @@ def jaccard(a: bytes, b: bytes) -> float:
     return same / max(1, len(both) - same)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a, b whose exact similarity reaches the threshold."""
+def hot_limit(rows: int) -> int:
+    """How many rows of one key may meet in a task, so that at most HOT_KEYS keys of a table have more."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            keep = np.array([jaccard(a, b) >= threshold for a, b in zip(x["set_a"], x["set_b"], strict=True)], bool)
-            yield x.loc[keep, ["a", "b"]]
 
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").transform(map_pandas, run, "a long, b long")
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, limit: int) -> DataFrame:
+    """left joined with right, which has one row a key and in n how many rows of left have it.
+
+    Keys with more than limit rows are broadcast, so those rows stay where they are; the others meet in tasks."""
+    hot = F.broadcast(right.where(F.col(n) > limit))  # at most HOT_KEYS rows, as limit comes from hot_limit()
+    rest = left.join(hot.select(keys), keys, "left_anti").join(right.where(F.col(n) <= limit), keys)
+    return left.join(hot, keys).unionByName(rest)
+
 
+def star_pairs(headed: DataFrame, payload: DataFrame, column: str, close: Callable[[np.ndarray, np.ndarray, list], np.ndarray]) -> DataFrame:
+    """The pairs uid, head of headed that close() accepts. payload: uid and the column to compare.
 
-def prune(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a, b that outlive the incremental comparison of their MinHash values."""
+    Members of a head meet it in blocks of at most about hot_limit() rows, and a block has
+    the head's payload once, in its first row. close(head row of each, member rows, payloads) gives a boolean for each member."""
+    counts = headed.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    limit = hot_limit(headed.count())
+    hot = F.broadcast(counts.where(F.col("n") > limit).select("head", F.ceil(F.col("n") / limit).cast("int").alias("blocks")))  # at most HOT_KEYS rows
+    blocks = F.coalesce("blocks", F.lit(1))
+    members = headed.join(hot, "head", "left").select("uid", "head", F.pmod(F.xxhash64("uid", F.lit(5)), blocks).cast("int").alias("block"))
+    heads = counts.join(hot, "head", "left").select(F.col("head").alias("uid"), "head", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    rows = members.unionByName(heads).join(payload.select("uid", column), "uid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, of = None, None
         for x in batches:
-            if len(x):
-                yield x.iloc[survivors(_signatures(x["sig_a"]), _signatures(x["sig_b"]), threshold)][["a", "b"]]
+            if not len(x):
+                continue
+            uid, head, values = x["uid"].to_numpy(np.int64), x["head"].to_numpy(np.int64), list(x[column])
+            first = np.flatnonzero(uid == head)
+            mine = np.searchsorted(first, np.arange(len(x)), "right") - 1
+            if (mine < 0).any():  # the batch before had this block's head
+                values.append(last)
+            place = np.append(first, len(x))[mine] if len(first) else np.full(len(x), len(x))
+            rows = np.flatnonzero(uid != head)
+            keep = rows[close(place[rows], rows, values)] if len(rows) else rows
+            yield pd.DataFrame({"uid": uid[keep], "head": head[keep]})
+            if len(first):
+                last, of = values[first[-1]], head[first[-1]]
+            assert of == head[-1]
+
+    grouped = rows.repartition("head", "block").sortWithinPartitions("head", "block", F.col("uid") != F.col("head"))
+    return grouped.transform(map_pandas, run, "uid long, head long")
+
+
+def prune(headed: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """Pairs uid, head that outlive the incremental comparison of their MinHash values."""
+
+    def close(heads: np.ndarray, members: np.ndarray, values: list[bytes]) -> np.ndarray:
+        sig = _signatures(values)
+        keep = np.zeros(len(members), bool)
+        keep[survivors(sig[heads], sig[members], threshold)] = True
+        return keep
+
+    return star_pairs(headed, signatures, "sig", close)
+
+
+def verify(headed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs uid, head whose exact similarity reaches the threshold."""
+
+    def close(heads: np.ndarray, members: np.ndarray, values: list[bytes]) -> np.ndarray:
+        return np.array([jaccard(values[h], values[m]) >= threshold for h, m in zip(heads, members, strict=True)], bool)
 
-    side = lambda c: signatures.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").transform(map_pandas, run, "a long, b long")
+    return star_pairs(headed, sets, "shingles", close)
 
 
 def compare_blocks(members: DataFrame, threshold: float, exact: bool) -> DataFrame:
     """Compare members of a bucket that are in different components, in blocks.
 
-    members: bucket, doc_id, comp, sig, block, blocks, and if exact bands and shingles. A bucket of many blocks is met as
+    members: bucket, uid, comp, sig, block, blocks, and if exact bands and shingles. A bucket of many blocks is met as
     pairs of blocks in as many groups, each of at most about 2 * BLOCK rows. Returned
-    are, if not exact, doc_id of members with a pair that outlives pruning; if exact, the verified links a, b, each
+    are, if not exact, uid of members with a pair that outlives pruning; if exact, the verified links a, b, each
     in the first bucket that its ends share. Pairs themselves never become rows."""
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    keyed = spread.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "bucket", "block", "lo", "hi", "doc_id", "comp", "sig", *(["bands", "shingles"] if exact else []))
+    keyed = spread.select(F.xxhash64("bucket", "lo", "hi").alias("group"), "bucket", "block", "lo", "hi", "uid", "comp", "sig", *(["bands", "shingles"] if exact else []))
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
-        group, bucket, doc, comp = (held[c].to_numpy() for c in ("group", "bucket", "doc_id", "comp"))
+        group, bucket, doc, comp = (held[c].to_numpy() for c in ("group", "bucket", "uid", "comp"))
         mixed, block = (held["lo"] != held["hi"]).to_numpy(), held["block"].to_numpy()
         sig, pairs = _signatures(held["sig"]), [np.zeros((2, 0), np.int64)]
         bands = np.stack(held["bands"].to_numpy()) if exact else None
@@ -153,7 +201,7 @@ def compare_blocks(members: DataFrame, threshold: float, exact: bool) -> DataFra
                 i = i[np.array([jaccard(shingles[k], shingles[k + lag]) >= threshold for k in i], bool)]
             pairs.append(np.sort(np.stack([doc[i], doc[i + lag]]), axis=0))
         a, b = np.concatenate(pairs, axis=1)
-        return pd.DataFrame({"a": a, "b": b}) if exact else pd.DataFrame({"doc_id": np.unique(np.concatenate([a, b]))})
+        return pd.DataFrame({"a": a, "b": b}) if exact else pd.DataFrame({"uid": np.unique(np.concatenate([a, b]))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -165,41 +213,47 @@ def compare_blocks(members: DataFrame, threshold: float, exact: bool) -> DataFra
             if last.all() and held and held[-1]["group"].iloc[-1] == group[-1]:
                 held.append(x)
                 continue
-            yield compare(pd.concat([*held, x[~last]], ignore_index=True))
+            if done := [y for y in (*held, x[~last]) if len(y)]:
+                yield compare(pd.concat(done, ignore_index=True))
             held = [x[last]]
         if held:
             yield compare(pd.concat(held, ignore_index=True))
 
-    return keyed.repartition("group").sortWithinPartitions("group").transform(map_pandas, run, "a long, b long" if exact else "doc_id long").distinct()
+    return keyed.repartition("group").sortWithinPartitions("group").transform(map_pandas, run, "a long, b long" if exact else "uid long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, comp (its least doc_id) for the ends of links a < b, by alternating large and small stars.
+    """uid, comp (its least uid) for the ends of links a < b that aren't the least, by alternating large and small stars.
 
-    Every round is joins and minima over links, written to the shared folder; the driver sees two numbers a round."""
+    Every round is joins and minima over links, written to the shared folder; the driver sees two numbers a round. A node with many
+    neighbours meets them by broadcast (join_hot), not in one task."""
     edges = materialize(links.select(F.col("a").alias("v"), F.col("b").alias("u")).distinct(), "links")  # v < u
     state = None
+    n = edges.count()
     while True:
+        limit = hot_limit(2 * n)
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("v"), F.col("v").alias("u")).where("v != u").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("m").alias("v"), F.col("v").alias("u")).unionByName(least.select(F.col("m").alias("v"), "u")).where("v != u").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.where("v > u"), least, ["u"], "n", limit).select(F.col("m").alias("v"), F.col("v").alias("u")).where("v != u").distinct()
+        large = materialize(large, "large_stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, least, ["u"], "n", limit).select(F.col("m").alias("v"), F.col("v").alias("u"))
+        small = small.unionByName(least.select(F.col("m").alias("v"), "u")).where("v != u").distinct()
         edges = materialize(small, "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u") % 1_000_000_007)).first()
-        if tuple(now) == state:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u") % 1_000_000_007)).first())
+        if now == state:
             break
-        state = tuple(now)
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
+        state, n = now, now[0]
+    return edges.select(F.col("u").alias("uid"), F.col("v").alias("comp"))
 
 
 def with_components(ids: DataFrame, comps: DataFrame) -> DataFrame:
-    return ids.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    return ids.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
 
-def similar_counts(sets: list[bytes], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+def similar_counts(sets: list[bytes], left: np.ndarray, right: np.ndarray, threshold: float, weight: np.ndarray | None = None) -> np.ndarray:
     """How many of the sets right each of the sets left is similar to and, where these differ, the other way round; one number a set.
+    A set counts as its weight, the number of texts that have it (by default 1).
 
     Sets are rows of a 0/1 matrix whose columns are the shingles that two or more of
     them have; its products, COLUMNS at a time, are the sizes of all intersections."""
@@ -220,48 +274,50 @@ def similar_counts(sets: list[bytes], left: np.ndarray, right: np.ndarray, thres
     links = same / np.maximum(1, size[left][:, None] + size[right][None, :] - same) >= threshold
     links &= left[:, None] != right[None, :]
     out = np.zeros(len(sets), np.int64)
-    out[left] += links.sum(axis=1)
+    weight = np.ones(len(sets), np.int64) if weight is None else weight
+    out[left] += links @ weight[right]
     if not np.array_equal(left, right):
-        out[right] += links.sum(axis=0)
+        out[right] += weight[left] @ links
     return out
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, n_links: to how many others of its class each text is similar, all compared exactly.
+    """uid, n_links: to how many texts of other sets of its class each is similar, all compared exactly.
 
-    members: doc_id, comp, shingles. A class is cut into blocks of about CLASS_BLOCK texts and
+    members: uid, comp, n_texts, shingles. A class is cut into blocks of about CLASS_BLOCK texts and
     at most CLASS_BYTES on average, and met as pairs of blocks, so a class of any size splits; only sums leave a pair of blocks."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS)))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(SALTS)))
     parts = salted.groupBy("comp", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.sum("n") / CLASS_BLOCK, F.sum("bytes") / CLASS_BYTES)).cast("int")
     large = parts.groupBy("comp").agg(blocks.alias("blocks")).where("blocks > 1")
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     placed = salted.join(large, ["comp", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(7)), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = spread.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "shingles")
+    met = spread.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "uid", "n_texts", "shingles")
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         at = np.arange(len(group))
         left = at[(group["block"] == group["lo"]).to_numpy()]
         right = at[(group["block"] == group["hi"]).to_numpy()]
-        return pd.DataFrame({"doc_id": group["doc_id"], "n": similar_counts(list(group["shingles"]), left, right, threshold)})
+        return pd.DataFrame({"uid": group["uid"], "n": similar_counts(list(group["shingles"]), left, right, threshold, group["n_texts"].to_numpy())})
 
-    counts = met.groupBy("comp", "lo", "hi").applyInPandas(count, "doc_id long, n long")
-    return counts.groupBy("doc_id").agg(F.sum("n").alias("n_links"))
+    counts = met.groupBy("comp", "lo", "hi").applyInPandas(count, "uid long, n long")
+    return counts.groupBy("uid").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, with_links: bool = True) -> DataFrame:
     """One row per row of documents: doc_id, text_id, n_copies, class_id, and n_links if with_links.
 
-    Words are runs of letters, numbers and underscores of the lower-cased text; texts
+    Words are runs of letters, numbers and underscores of the lower-cased whole text, however long; texts
     are compared as sets of runs of WORDS words (a shorter one has one run). text_id is the least doc_id with the
-    same set, n_copies how many documents have it. class_id is the least doc_id of
-    the documents that links (similarity >= threshold) join, through others too.
-    n_links is the number of other texts that are similar to the text; equal sets
-    are one text. All texts of a class are compared for it, exactly and in blocks.
+    same set, n_copies how many rows have it. class_id is the least doc_id of
+    the rows that links (similarity >= threshold) join, through others too.
+    n_links is the number of other, different texts that are similar to the text; copies of a text count as one, texts that
+    differ in case or punctuation only do not. All texts of a class are compared for it, exactly and in blocks.
     Null and empty texts and texts without a word are copies of none: each is its own class. Rows that share a
-    doc_id count as one document; a row without doc_id has a null text_id and class_id and no links. Other columns are left out.
+    doc_id are each taken by their text; repeated rows are copies. A row without doc_id has a null text_id and class_id and no links.
+    Columns other than doc_id and text, whatever their names, are left out; an empty table gives no rows.
 
     1. Equal sets become one text. 2. Its MinHash bands are buckets; each bucket names two
     heads, one at random and the member whose buckets are largest (the text that the others vary), and each member
@@ -270,42 +326,53 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, with_lin
     BLOCK, and what outlives pruning is verified there. So no link between two classes is lost. 5. A
     link joins texts of one class, so links are counted within the classes."""
     bound_batches(documents.sparkSession)
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     feats = materialize(texts.transform(map_pandas, features, FEATURES), "features")
     worded = feats.where("n > 0 and doc_id is not null")
-    reps = worded.groupBy("key_a", "key_b").agg(F.min_by(F.struct("doc_id", "sig", "bands"), "doc_id").alias("r"), F.count(F.lit(1)).alias("n_copies"))
-    reps = materialize(reps.select("key_a", "key_b", "r.*", "n_copies"), "texts")
+    of_rows = hot_limit(feats.count())
+    first = F.min_by(F.struct("doc_id", "text_hash", "sig", "bands"), F.struct("doc_id", "text_hash"))
+    reps = worded.groupBy("key_a", "key_b").agg(first.alias("r"), F.count(F.lit(1)).alias("n_copies"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("uid"), "key_a", "key_b", "r.*", "n_copies"), "texts")
 
-    rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    rows = reps.select("uid", F.explode("bands").alias("bucket"))
+    of_bands = hot_limit(BANDS * reps.count())
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(rows.join(sizes, "bucket"), "buckets")
-    members = buckets.groupBy("doc_id").agg(F.sum("size").alias("met"))
-    central = F.max(F.struct("met", -F.col("doc_id"))).getField("col2")
-    ranked = buckets.join(members, "doc_id")
-    heads = ranked.groupBy("bucket").agg((-central).alias("head"), F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("other_head"))
-    headed = buckets.join(heads, "bucket").select("doc_id", F.explode(F.array("head", "other_head")).alias("head")).where("doc_id != head")
-    sets = materialize(texts.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).transform(map_pandas, shingle_sets, "doc_id long, shingles binary"), "sets")
-    near = materialize(reps.select("doc_id", "sig", "bands").join(members.select("doc_id"), "doc_id", "left_semi"), "signatures")
-
-    pairs = headed.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-    links = materialize(verify(prune(pairs, near, threshold), sets, threshold), "head_links")
+    buckets = materialize(join_hot(rows, materialize(sizes, "sizes"), ["bucket"], "size", of_bands), "buckets")
+    members = buckets.groupBy("uid").agg(F.sum("size").alias("met"))
+    central = F.max(F.struct("met", -F.col("uid"))).getField("col2")
+    heads = buckets.join(members, "uid").groupBy("bucket").agg((-central).alias("head"), F.min_by("uid", F.xxhash64("uid", "bucket")).alias("other_head"), F.max("size").alias("size"))
+    headed = join_hot(buckets.select("uid", "bucket"), materialize(heads, "heads"), ["bucket"], "size", of_bands)
+    headed = materialize(headed.select("uid", F.explode(F.array("head", "other_head")).alias("head")).where("uid != head").distinct(), "headed")
+    own = reps.join(members.select("uid"), "uid", "left_semi")
+    wanted = own.select("uid", "doc_id", "text_hash", "n_copies")
+    sets = join_hot(texts, wanted, ["doc_id", "text_hash"], "n_copies", of_rows).select("uid", "text").dropDuplicates(["uid"])
+    sets = materialize(sets.transform(map_pandas, shingle_sets, "uid long, shingles binary"), "sets")
+    near = materialize(own.select("uid", "sig", "bands"), "signatures")
+
+    links = verify(materialize(prune(headed, near, threshold), "pruned"), sets, threshold)
+    links = materialize(links.select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct(), "head_links")
     comps = materialize(components(links), "components")
-    held = with_components(buckets.select("bucket", "doc_id"), comps)
+    held = with_components(buckets.select("bucket", "uid"), comps)
     open_ = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = held.join(open_.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int"))
-    close = materialize(compare_blocks(open_.join(near.drop("bands"), "doc_id"), threshold, exact=False), "close")
-    more = compare_blocks(open_.join(near.join(close, "doc_id").join(sets, "doc_id"), "doc_id"), threshold, exact=True)
-    links = materialize(links.unionByName(more), "all_links")
-    comps = components(links)
-
-    known = with_components(reps.select("doc_id", "key_a", "key_b", "n_copies"), comps)
-    known = known.select("key_a", "key_b", F.col("doc_id").alias("text_id"), "n_copies", F.col("comp").alias("class_id"))
+    open_ = join_hot(held, materialize(open_.select("bucket", "size"), "open"), ["bucket"], "size", of_bands)
+    open_ = open_.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(7)), F.col("blocks")).cast("int"))
+    close = materialize(compare_blocks(open_.join(near.drop("bands"), "uid"), threshold, exact=False), "close")
+    more = compare_blocks(open_.join(near.join(close, "uid").join(sets, "uid"), "uid"), threshold, exact=True)
+    every = materialize(links.unionByName(more), "all_links")
+    if every.count() > links.count():
+        comps = materialize(components(every), "components")
+
+    known = with_components(reps.select("uid", "key_a", "key_b", "doc_id", "n_copies"), comps)
+    classes = known.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    known = join_hot(known, classes, ["comp"], "n", of_rows).select("uid", "key_a", "key_b", F.col("doc_id").alias("text_id"), "n_copies", "class_id")
     alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("class_id"))
     if with_links:
-        ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        counts = count_links(materialize(with_components(ends, comps).join(sets, "doc_id"), "linked"), threshold)
-        known = known.join(counts.withColumnRenamed("doc_id", "text_id"), "text_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        n_texts = worded.select("key_a", "key_b", "text_hash").distinct().groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n_texts"))
+        known = known.join(n_texts, ["key_a", "key_b"])
+        ends = every.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        linked = with_components(ends, comps).join(known.select("uid", "n_texts"), "uid").join(sets, "uid")
+        counts = count_links(materialize(linked, "linked"), threshold)
+        known = known.join(counts, "uid", "left").withColumn("n_links", F.col("n_texts") - 1 + F.coalesce("n_links", F.lit(0).cast("long"))).drop("n_texts")
         alone = alone.withColumn("n_links", F.lit(0).cast("long"))
-    found = worded.select("doc_id", "key_a", "key_b").join(known, ["key_a", "key_b"]).drop("key_a", "key_b")
+    found = join_hot(worded.select("doc_id", "key_a", "key_b"), materialize(known.drop("uid"), "known"), ["key_a", "key_b"], "n_copies", of_rows).drop("key_a", "key_b")
     return found.unionByName(alone)

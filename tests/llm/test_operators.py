@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from packwright.llm import chat, decontam, html_extract, langid, media, ngram_join, packing, quality, queries, token_output, tokens, url_filter
+from packwright.llm import chat, common, decontam, html_extract, langid, media, ngram_join, packing, quality, queries, token_output, tokens, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -65,10 +65,9 @@ def brute_classes(rows):
 
 
 def brute_links(rows):
-    """Of each row, how many different sets are similar to its own."""
-    sets = {i: frozenset(shingles(t)) for i, t in rows}
-    each = {s for s in sets.values() if s}
-    return {i: sum(a != b and len(a & b) / len(a | b) >= 0.8 for b in each) if a else 0 for i, a in sets.items()}
+    """Of each row, how many different texts are similar to its own."""
+    sets = {t: frozenset(shingles(t)) for _, t in rows}
+    return {i: sum(t != u and len(sets[t] & b) / len(sets[t] | b) >= 0.8 for u, b in sets.items() if b) if sets[t] else 0 for i, t in rows}
 
 
 @pytest.mark.parametrize("sizes", [(1024, 8 << 20), (3, 8 << 20), (1024, 2000)])
@@ -85,7 +84,7 @@ def test_near_duplicates_equal_brute_force(spark, sizes, monkeypatch):
             own = list(base)
             for _ in range(edits):
                 own[random.randrange(len(own))] = random.choice(vocabulary)
-            rows.append((n, " ".join(own)))
+            rows.append((n, " ".join(own).upper() + "." if n % 11 == 0 else " ".join(own)))
             n += 1
     got = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_classes(rows)
@@ -93,8 +92,8 @@ def test_near_duplicates_equal_brute_force(spark, sizes, monkeypatch):
     assert {i: r["n_links"] for i, r in got.items()} == brute_links(rows)
     copies = {}
     for i, t in rows:
-        copies.setdefault(t, []).append(i)
-    assert all(got[i]["n_copies"] == len(copies[t]) and got[i]["text_id"] == min(copies[t]) for i, t in rows)
+        copies.setdefault(frozenset(shingles(t)), []).append(i)
+    assert all(got[i]["n_copies"] == len(copies[frozenset(shingles(t))]) and got[i]["text_id"] == min(copies[frozenset(shingles(t))]) for i, t in rows)
 
 
 def test_counts_by_columns(monkeypatch):
@@ -125,6 +124,40 @@ def test_star_of_variants_is_one_class(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions, coalesce, batch, hot", [(1, True, 512, 256), (40, False, 512, 3), (8, False, 1, 256)])
+def test_heads_that_miss_links(spark, partitions, coalesce, batch, hot, monkeypatch):
+    """Edits shared by many variants, so that links go between members of different stars; groups alone in a partition, batches of one row, many hot keys."""
+    monkeypatch.setattr(common, "BATCH_ROWS", batch)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(200)]
+    edits = [(rng.randrange(200), f"e{k}") for k in range(2000 if batch > 1 else 60)]
+    rows = []
+    for n in range(250 if batch > 1 else 40):
+        own = list(base)
+        for at, word in rng.sample(edits, 3):
+            own[at] = word
+        rows.append((n, " ".join(own)))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(coalesce).lower())
+        got = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert {i: r["class_id"] for i, r in got.items()} == brute_classes(rows)
+    assert {i: r["n_links"] for i, r in got.items()} == brute_links(rows)
+
+
+def test_texts_that_share_a_doc_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(7, a), (7, b), (7, b), (9, a + " x"), (11, b + " y"), (None, a), (12, None)]
+    made = spark.createDataFrame([(*r, 1, 2, "u") for r in rows], "doc_id long, text string, class_id int, bands int, uid string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in ngram_join.near_duplicates(made).collect() if r["doc_id"])
+    assert got == [(7, 7, 1, 1), (7, 7, 2, 1), (7, 7, 2, 1), (9, 7, 1, 1), (11, 7, 1, 1), (12, 12, 1, 0)]
+
+
 def test_pruning_keeps_the_similar():
     rng = np.random.RandomState(0)
     a = rng.randint(0, 60_000, (5000, ngram_join.N_HASHES))
