@@ -20,8 +20,9 @@ N_HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 20, 1e-5
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 256
-#: Texts and bytes of shingles of a class that are counted against each other in one block, and columns met at a time.
-CLASS_BLOCK, CLASS_BYTES, COLUMNS = 1024, 8 << 20, 4096
+#: Texts and bytes of shingles of a class that are counted against each other in one block (at least LEAST_BLOCK texts, then a BLOCKS-th of the class, at most
+#: CLASS_BLOCK), and columns met at a time.
+LEAST_BLOCK, BLOCKS, CLASS_BLOCK, CLASS_BYTES, COLUMNS = 128, 16, 1024, 8 << 20, 4096
 #: Parts of a class when its members are counted.
 SALTS = 32
 #: Rows of one key that meet in one task, at least; keys with more are broadcast, and there are at most about HOT_KEYS of them.
@@ -107,13 +108,14 @@ def hot_limit(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, limit: int) -> DataFrame:
-    """left joined with right, which has one row a key and in n how many rows of left have it.
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, limit: int, once: bool = False) -> DataFrame:
+    """left joined with right, which has one row a key and in n how many rows of left have it; if once, any one row of each key.
 
     Keys with more than limit rows are broadcast, so those rows stay where they are; the others meet in tasks."""
     hot = F.broadcast(right.where(F.col(n) > limit))  # at most HOT_KEYS rows, as limit comes from hot_limit()
     rest = left.join(hot.select(keys), keys, "left_anti").join(right.where(F.col(n) <= limit), keys)
-    return left.join(hot, keys).unionByName(rest)
+    found = left.join(hot, keys)
+    return found.dropDuplicates(keys).unionByName(rest.dropDuplicates(keys)) if once else found.unionByName(rest)
 
 
 def star_pairs(headed: DataFrame, payload: DataFrame, column: str, close: Callable[[np.ndarray, np.ndarray, list], np.ndarray]) -> DataFrame:
@@ -284,11 +286,12 @@ def similar_counts(sets: list[bytes], left: np.ndarray, right: np.ndarray, thres
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
     """uid, n_links: to how many texts of other sets of its class each is similar, all compared exactly.
 
-    members: uid, comp, n_texts, shingles. A class is cut into blocks of about CLASS_BLOCK texts and
+    members: uid, comp, n_texts, shingles. A class is cut into blocks of LEAST_BLOCK to CLASS_BLOCK texts and
     at most CLASS_BYTES on average, and met as pairs of blocks, so a class of any size splits; only sums leave a pair of blocks."""
     salted = members.withColumn("salt", F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(SALTS)))
     parts = salted.groupBy("comp", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.sum("n") / CLASS_BLOCK, F.sum("bytes") / CLASS_BYTES)).cast("int")
+    block = F.least(F.greatest(F.sum("n") / BLOCKS, F.lit(LEAST_BLOCK)), F.lit(CLASS_BLOCK))
+    blocks = F.ceil(F.greatest(F.sum("n") / block, F.sum("bytes") / CLASS_BYTES)).cast("int")
     large = parts.groupBy("comp").agg(blocks.alias("blocks")).where("blocks > 1")
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     placed = salted.join(large, ["comp", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -345,7 +348,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, with_lin
     headed = materialize(headed.select("uid", F.explode(F.array("head", "other_head")).alias("head")).where("uid != head").distinct(), "headed")
     own = reps.join(members.select("uid"), "uid", "left_semi")
     wanted = own.select("uid", "doc_id", "text_hash", "n_copies")
-    sets = join_hot(texts, wanted, ["doc_id", "text_hash"], "n_copies", of_rows).select("uid", "text").dropDuplicates(["uid"])
+    sets = join_hot(texts, wanted, ["doc_id", "text_hash"], "n_copies", of_rows, once=True).select("uid", "text")
     sets = materialize(sets.transform(map_pandas, shingle_sets, "uid long, shingles binary"), "sets")
     near = materialize(own.select("uid", "sig", "bands"), "signatures")
 

@@ -74,6 +74,7 @@ def brute_links(rows):
 def test_near_duplicates_equal_brute_force(spark, sizes, monkeypatch):
     """Classes of one block, and cut into blocks by texts and by bytes."""
     monkeypatch.setattr(ngram_join, "CLASS_BLOCK", sizes[0])
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", min(sizes[0], 128))
     monkeypatch.setattr(ngram_join, "CLASS_BYTES", sizes[1])
     random.seed(3)
     vocabulary = [f"w{k}" for k in range(400)]
