@@ -3,12 +3,14 @@
 import json
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 from urllib.parse import urlsplit
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -471,6 +473,64 @@ def test_html_code_and_names_between_paragraphs():
     assert html_extract.main_text(f"<p>{text}</p><p>Code:</p><pre>{code}</pre><p>So.</p><p>{text}</p>").split("\n") == [text, "Code:", code.strip(), "So.", text]
 
 
+def plain_page(rng):
+    """A page without article, main or dropped elements: menus of links, a title, paragraphs with short ones among them, and links below. Its main text, too."""
+    menu = lambda n: "".join(f"<li><a href=x>{rng.choice(('Home', 'News', 'All of it'))} {k}</a></li>" for k in range(n))
+    paragraphs = [STOPPED.strip() + f" {rng.randrange(9)} " + STOPPED.strip() * rng.randint(2, 4)]
+    for _ in range(rng.randint(1, 6)):
+        paragraphs.append(rng.choice((f"Yes {rng.randrange(9)}.", "See below: 12, 13.", STOPPED * 3, "It was for him and for her.")).strip())
+    paragraphs.append(STOPPED * 3 + "End.")
+    title = f"Part {rng.randrange(99)}"
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    return f"<body><p>Menu</p><ul>{menu(rng.randint(2, 6))}</ul><div><a href=y>Log in now</a></div><h1>{title}</h1>{body}<ul>{menu(3)}</ul><p>Pages</p><ul>{menu(2)}</ul></body>", [title, *paragraphs]
+
+
+def test_html_passes_decide(monkeypatch):
+    """Without elements that say what is the article, the rules and neighbours find it; without the rules, or without neighbours, they don't."""
+    rng = random.Random(6)
+    made = [plain_page(rng) for _ in range(60)]
+    right = lambda: sum(html_extract.main_text(page).split("\n") == want for page, want in made)
+    assert right() == len(made)
+    for name, value in (("LINK_DENSITY", 2.0), ("LENGTH_HIGH", 10**6), ("STOPS_LOW", 2.0)):
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, name, value)
+            if name != "STOPS_LOW":
+                assert right() < len(made), name
+            else:
+                m.setattr(html_extract, "STOPS_HIGH", 2.0)
+                m.setattr(html_extract, "covered", lambda found: True)
+                assert right() < len(made)
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "classify", lambda found: [html_extract.first_pass(b) == "good" for b in found])
+        assert right() < len(made)
+    # article only shifts: taken away, the rules find nearly the same text of the given pages
+    pages = pd.read_parquet(f"{SF}/pages.parquet").html.tolist()
+    whole = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "KEEP_TAGS", frozenset())
+    assert sum(html_extract.main_text(p) == w for p, w in zip(pages, whole, strict=True)) >= 0.95 * len(pages)
+
+
+def test_html_depth_costs_no_square():
+    at = time.process_time()
+    for opened in ("<div>x", "<b>x", "<p><b>x", '<div class="nav">x', "<article>x", "</i><div>x"):
+        assert html_extract.main_text(opened * 30_000 + f"<p>{STOPPED * 3}</p>")
+    assert time.process_time() - at < 30
+
+
+def test_html_wrappers_keep_their_text():
+    text = (STOPPED * 3).strip()
+    for page in (
+        f'<div class="layout with-sidebar"><article><p>{text}</p></article></div>',
+        f'<article><div class="short-form"><p>{text}</p></div></article>',
+        f'<form id="aspnetForm"><div><p>{text}</p></div><input><button>Go</button></form>',
+        f'<form id="aspnetForm"><nav>No</nav><article><p>{text}</p></article></form>',
+        f"<article><form><p>{text}</p></form></article>",
+    ):
+        assert html_extract.main_text(page) == text, page
+    assert html_extract.main_text(f"<article><p>{text}</p><form><p>Your name and {text}</p></form></article>") == text
+    assert html_extract.main_text("<form><p>Sign in here.</p></form>") == ""
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_extract.extract(pages).collect():
