@@ -36,10 +36,11 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None)
 
     pairs: pair_id, chosen_id, rejected_id (adjacent_pairs() by default). Turns are
     equal if role and text are (null counts as empty); turns with one number are
-    ordered by role, then text, and all kept. A mask is "start-end" for each
-    assistant text in a completion, in characters, joined by commas; what lies
+    ordered by role, then text, and all kept, repeated ones too. A mask has from and to of each
+    assistant turn in a completion, in characters: its text and the end mark after it, which a model must learn to give; what lies
     outside gets no loss. Where one of a pair is missing or has no turns, the prompt is empty and that
-    completion null. Rows without conv_id are left out, other columns too."""
+    completion null. Rows without conv_id are left out, other columns, whatever their names, too; an empty table gives no rows.
+    A conversation, however long its texts, is one row."""
     pairs = adjacent_pairs(conversations) if pairs is None else pairs
     convs = with_turns(conversations)
     side = lambda name: convs.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(name))
@@ -54,7 +55,7 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame | None = None)
         rest = f"slice({name}, n_shared + 1, size({name}))"
         base = f"if(n_shared > 0, {name}[n_shared - 1].ends, 0)"
         tail = len(END) + 1
-        span = f"concat(t.ends - {base} - {tail} - length(t.text), '-', t.ends - {base} - {tail})"
+        span = f"named_struct('from', t.ends - {base} - {tail} - length(t.text), 'to', t.ends - {base} - 1)"
         out.append(F.expr(f"array_join(transform({rest}, t -> t.line), '')").alias(f"{name}_completion"))
-        out.append(F.expr(f"array_join(transform(filter({rest}, t -> t.role = 'assistant'), t -> {span}), ',')").alias(f"{name}_mask"))
+        out.append(F.expr(f"transform(filter({rest}, t -> t.role = 'assistant'), t -> {span})").alias(f"{name}_mask"))
     return both.select(*out)

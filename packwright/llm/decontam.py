@@ -12,15 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.common import bound_batches, map_pandas, word_hashes
+from packwright.llm.common import bound_batches, map_pandas, materialize, word_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach, and of the word runs of its question and of its answer.
 SCORE, OVERLAP, RUN = 0.5, 0.7, 3
-#: Words of half a passage, at least; passages overlap by half, so a run of so many words lies within one.
+#: Words of half a passage, at least; passages overlap by half, so a run of so many words lies within one. Items of up to HALF words,
+#: twice as many, four times ... have indexes and passages of their own, so a long item doesn't make the passages of short ones long.
 HALF = 64
-#: Items of one block of the index; bytes of items of one index, so of what is broadcast at once.
-BLOCK, INDEX_BYTES = 16, 8 << 20
+#: Items of one block of the index; bytes of items whose indexes are broadcast at once.
+BLOCK, INDEX_BYTES = 16, 16 << 20
 _END = re.compile(r"\n|(?<=[.?!])\s")
 
 
@@ -42,7 +43,7 @@ class Index:
     essential are the commonest ones that together give no item more than slack; slack[i] is what they give it."""
 
     ids: np.ndarray
-    parts: list[tuple[list[int], list[int]]]
+    parts: list[tuple[np.ndarray, np.ndarray]]
     half: int
     terms: np.ndarray
     start: np.ndarray
@@ -53,12 +54,19 @@ class Index:
     quick: np.ndarray
 
     @staticmethod
-    def build(items: list[tuple[int, str]], n_items: int, mean_words: float, frequency: dict[int, int]) -> Index | None:
-        """frequency: in how many of all n_items items a word is. None without a word."""
-        hashed = [(k, word_hashes([t])[0], *(word_hashes([p])[0].tolist() for p in split_item(t))) for k, t in items]
-        hashed = [x for x in hashed if len(x[1])]
-        if not hashed:
-            return None
+    def build_all(items: list[tuple[int, str]], n_items: int, mean_words: float, frequency: dict[int, int]) -> list[Index]:
+        """An index for each class of lengths. frequency: in how many of all n_items items a word is."""
+        classes: dict[int, list] = {}
+        for k, t in items:
+            words = word_hashes([t])[0]
+            if len(words):
+                half = HALF << max(0, -(-len(words) // HALF) - 1).bit_length()
+                classes.setdefault(half, []).append((k, words, *(word_hashes([p])[0] for p in split_item(t))))
+        return [Index.build(own, half, n_items, mean_words, frequency) for half, own in sorted(classes.items())]
+
+    @staticmethod
+    def build(hashed: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], half: int, n_items: int, mean_words: float, frequency: dict[int, int]) -> Index:
+        """hashed: id and the words of each item, of its question and of its answer."""
         terms = np.unique(np.concatenate([h for _, h, _, _ in hashed]))
         idf = np.array([np.log(1 + (n_items - frequency[int(t)] + 0.5) / (frequency[int(t)] + 0.5)) for t in terms])
         at, item, weight = [], [], []
@@ -82,7 +90,6 @@ class Index:
             essential[t] = False
         quick = np.zeros(1 << 20, bool)
         quick[terms[essential] & np.uint64((1 << 20) - 1)] = True
-        half = max(HALF, max(len(h) for _, h, _, _ in hashed))
         return Index(np.array([k for k, *_ in hashed]), [(q, a) for _, _, q, a in hashed], half, terms, start, item, weight, essential, slack, quick)
 
     def block_max(self, term: int) -> dict[int, float]:
@@ -175,7 +182,7 @@ class Index:
     def overlaps(self, words: list[int], item: int) -> tuple[float, float]:
         """Shares of the runs of RUN words of question and answer that are in the passage; 1 for an empty answer."""
         out = []
-        for part in self.parts[item]:
+        for part in (p.tolist() for p in self.parts[item]):
             n = min(RUN, len(part))
             runs = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)} if n else set()
             there = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
@@ -183,8 +190,8 @@ class Index:
         return out[0], out[1]
 
 
-def build_indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over all items, each of at most about INDEX_BYTES of text, one at a time; all weigh words by their frequency in all items."""
+def build_indexes(benchmark: DataFrame) -> Iterator[tuple[list[Index], bool]]:
+    """Indexes over all items, of at most about INDEX_BYTES of text at a time, and whether there are more; all weigh words by their frequency in all items."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // INDEX_BYTES)
@@ -202,15 +209,15 @@ def build_indexes(benchmark: DataFrame) -> Iterator[Index]:
         total = frequency.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         for k in range(shards):
             own = {int(np.int64(w).view(np.uint64)): n for w, n in total.join(frequency.where(F.col("shard") == k).select("word").distinct(), "word").collect()}
-            if index := Index.build([tuple(r) for r in items.where(F.col("shard") == k).select("item_id", "text").collect()], n_items or 0, mean or 1.0, own):
-                yield index
+            if found := Index.build_all([tuple(r) for r in items.where(F.col("shard") == k).select("item_id", "text").collect()], n_items or 0, mean or 1.0, own):
+                yield found, True
         return
     rows = sorted(tuple(r) for r in items.collect())
     own = [word_hashes([t])[0] for _, t in rows]
     sizes = [len(h) for h in own if len(h)]
     frequency = Counter(w for h in own for w in np.unique(h).tolist())
-    if index := Index.build(rows, len(sizes), sum(sizes) / max(1, len(sizes)), frequency):
-        yield index
+    if found := Index.build_all(rows, len(sizes), sum(sizes) / max(1, len(sizes)), frequency):
+        yield found, False
 
 
 MATCH = "doc_id long, item_id long, word_start long, score double, question_overlap double, answer_overlap double"
@@ -219,33 +226,38 @@ MATCH = "doc_id long, item_id long, word_start long, score double, question_over
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, passages, score, question_overlap, answer_overlap for each document that holds a benchmark item.
 
-    Every document is cut into passages that overlap by half, each at least twice as
-    long as the longest item. Passages that score SCORE of an item's own BM25 are
+    Every whole document is cut into passages that overlap by half, each at least twice as
+    long as the item. Passages that score SCORE of an item's own BM25 are
     retrieved, and kept if they have OVERLAP of the runs of RUN words both of its question and of its answer.
     passages counts those kept, the other columns are of the best. Null, empty and wordless texts and
-    items match nothing; a null doc_id is reported as such. Rows with one doc_id are reported together. Items with
-    equal texts are all reported. Other columns are left out. Documents are neither shuffled nor joined."""
+    items match nothing; a null doc_id is reported as such, items without item_id are left out. Rows with one doc_id are reported together. Items with
+    equal texts are all reported. Other columns, whatever their names, are left out; an empty table of either kind gives no rows. Documents are neither shuffled nor
+    joined; they are read once for each INDEX_BYTES of items, and the indexes of one reading are let go before the next."""
     spark = documents.sparkSession
     bound_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     found = None
-    for index in build_indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    for indexes, many in build_indexes(benchmark):
+        shared = spark.sparkContext.broadcast(indexes)  # of at most about INDEX_BYTES of items
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
             for b in batches:
                 words, bounds = word_hashes(list(b["text"]))
                 out = []
-                for i, a, z in index.open_windows(words, bounds):
-                    for item, score in index.search(words[a:z]):
-                        q, r = index.overlaps(words[a:z].tolist(), item)
-                        if q >= OVERLAP and r >= OVERLAP:
-                            out.append((b["doc_id"].iloc[i], int(index.ids[item]), int(a - bounds[i]), score, q, r))
+                for index in shared.value:
+                    for i, a, z in index.open_windows(words, bounds):
+                        passage = words[a:z].tolist()
+                        for item, score in index.search(words[a:z]):
+                            q, r = index.overlaps(passage, item)
+                            if q >= OVERLAP and r >= OVERLAP:
+                                out.append((b["doc_id"].iloc[i], int(index.ids[item]), int(a - bounds[i]), score, q, r))
                 frame = pd.DataFrame(out, columns=["doc_id", "item_id", "word_start", "score", "question_overlap", "answer_overlap"])
                 yield frame.astype({"doc_id": "Int64"})
 
         part = rows.transform(map_pandas, run, MATCH)
+        if many:
+            part = materialize(part, "leaks")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], MATCH)

@@ -49,7 +49,10 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(table(spark, sf_dir, "conversations"))
+    """Masks as text: from-to, joined by commas."""
+    found = chat.format_preferences(table(spark, sf_dir, "conversations"))
+    said = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat(s["from"].cast("string"), F.lit("-"), s["to"].cast("string"))), ",").alias(mask)
+    return found.select(*[said(c) if c.endswith("_mask") else c for c in found.columns])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,7 +93,7 @@ m AS (
 c AS (
   SELECT conv_id, coalesce(string_agg(CASE WHEN i <= n_shared THEN line END, '' ORDER BY i), '') AS prompt,
          coalesce(string_agg(CASE WHEN i > n_shared THEN line END, '' ORDER BY i), '') AS completion,
-         coalesce(string_agg(CASE WHEN i > n_shared AND role = 'assistant' THEN CAST(ends - 11 - length(text) AS BIGINT) || '-' || CAST(ends - 11 AS BIGINT) END, ',' ORDER BY i), '') AS mask
+         coalesce(string_agg(CASE WHEN i > n_shared AND role = 'assistant' THEN CAST(ends - 11 - length(text) AS BIGINT) || '-' || CAST(ends - 1 AS BIGINT) END, ',' ORDER BY i), '') AS mask
   FROM m GROUP BY conv_id)
 SELECT p.pair_id, p.chosen_id, p.rejected_id, CAST(n_shared AS BIGINT) AS n_prompt_turns, coalesce(a.prompt, '') AS prompt,
        a.completion AS chosen_completion, a.mask AS chosen_mask, b.completion AS rejected_completion, b.mask AS rejected_mask
