@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Parts of paths that name no domain.
-NOISE = ("src", "lib", "app", "test", "tests", "main", "index", "init", "util", "utils", "common", "core", "base", "doc", "docs", "txt", "the", "and", "for")
+from packwright.functions.fixed import NOISE
+
 
 
 def domain_keywords(files: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-TEST_PATH = r"(?i)(^|/)tests?/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$"
+from packwright.functions import fixed
+from packwright.functions.text import query_tokens
+
+TEST_PATH = "(?i)" + "|".join(fixed.TEST_PATHS)
 
 
 def min_max(scores: DataFrame, column: str = "score") -> DataFrame:
@@ -83,7 +88,7 @@ def rule_boost(scores: DataFrame, names: list[str], boost: float = 10.0) -> Data
     return scores.withColumn("score", F.when(hit, F.col("score") + boost).otherwise(F.col("score")))
 
 
-def phase_weights(scores: DataFrame, phase: str, test_marks: list[str], mock_marks: list[str]) -> DataFrame:
+def phase_weights(scores: DataFrame, phase: str, test_marks: Iterable[str] = fixed.TEST_MARKS, mock_marks: Iterable[str] = fixed.MOCK_MARKS) -> DataFrame:
     """In phase test, test files count double and mock files half as much again; other phases change nothing."""
     if phase != "test":
         return scores
@@ -92,20 +97,23 @@ def phase_weights(scores: DataFrame, phase: str, test_marks: list[str], mock_mar
     return scores.withColumn("score", F.col("score") * factor)
 
 
-def classify_query(query: str, domains: list[str]) -> str:
-    """path-dominant, symbol-dominant or semantic-dominant, for the weights of boosts."""
-    import re
+def near_keyword(token: Column, keyword: Column) -> Column:
+    """keyword_matches() as an expression."""
+    n = F.least(F.lit(5), F.length(token), F.length(keyword))
+    return (token == keyword) | ((n >= 4) & (F.left(token, n) == F.left(keyword, n)))
+
 
-    if any(keyword_matches(t, d) for t in query.lower().split() for d in domains):
-        return "path-dominant"
-    if re.search(r"\b[A-Z][a-z]+[A-Z]", query) or any("_" in t and len(t) > 4 for t in query.split()):
-        return "symbol"
-    return "semantic-dominant"
+def query_kind(query: Column, keywords: list[str]) -> Column:
+    """path-dominant where a token fits a domain keyword, else symbol for joined words or a longer name with _, else semantic-dominant."""
+    tokens, known = query_tokens(query), F.array(*map(F.lit, keywords)).cast("array<string>")
+    path = F.exists(tokens, lambda t: F.exists(known, lambda k: near_keyword(t, k)))
+    symbol = query.rlike(fixed.JOINED_WORDS) | F.exists(tokens, lambda t: F.contains(t, F.lit("_")) & (F.length(t) > 4))
+    return F.when(path, "path-dominant").when(symbol, "symbol").otherwise("semantic-dominant")
 
 
-# Factors of symbol, path and domain boost by kind of query, and the boosts.
-FACTORS = {"symbol": (1.5, 0.5, 0.3), "path-dominant": (0.5, 1.5, 0.5), "semantic-dominant": (0.2, 0.2, 0.2)}
-BOOSTS = (0.3, 0.2, 0.25)
+def boost_weights(kind: str) -> tuple[float, float, float]:
+    """Weights of symbol, path and domain boost for a kind of query."""
+    return tuple(f * b for f, b in zip(fixed.FACTORS[kind], fixed.BOOSTS, strict=True))
 
 
 def budget_prefix(scores: DataFrame, budget: int, share: float = 0.8) -> DataFrame:

@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from packwright.functions.text import module_suffixes, node_id, symbol_kind
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder (spark.checkpoint.dir; a temporary one where unset) and read back: ends the lineage of a loop."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="packwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/packwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from packwright.sources.shared import cut
 
 
 def file_edges(chunks: DataFrame) -> DataFrame:
@@ -55,6 +45,9 @@ def resolve_modules(refs: DataFrame, files: DataFrame) -> DataFrame:
     modules = files.select("file", F.explode(module_suffixes(F.col("file"))).alias("suffix")).groupBy("suffix").agg(F.max("file").alias("file"))
     dotted = F.split("ref", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda i: F.struct((F.size(dotted) - i + 1).alias("length"), F.array_join(F.slice(dotted, i, F.size(dotted) - i + 1), ".").alias("suffix")))
+    # only references whose last part ends some module are tried at all
+    last = modules.where(~F.contains(F.col("suffix"), F.lit("."))).select(F.col("suffix").alias("last"))
+    refs = refs.withColumn("last", F.element_at(F.split("ref", r"\."), -1)).join(last, "last", "left_semi")
     tried = refs.select("path", "ref", F.explode(suffix).alias("s")).select("path", "ref", "s.*")
     best = tried.join(modules, "suffix").groupBy("path", "ref").agg(F.max(F.struct("length", "file")).getField("file").alias("file"))
     return best
@@ -97,22 +90,22 @@ def reach(edges: DataFrame, start: str, max_depth: int = 10) -> DataFrame:
     return seen
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, boosted: DataFrame | None = None, boost: float = 2.0) -> DataFrame:
-    """node, rank: power iteration over distinct edges; the rank of nodes without successors is spread over all.
+#: Distinct edges up to which one task takes all of PageRank's rounds.
+ONE_TASK_EDGES = 2_000_000
 
-    Edges keep one partitioning by source through the loop; ranks are written every round. boosted: node, whose rank counts `boost` times before the ranks are brought to sum 1."""
-    links = edges.select("src", "dst").distinct()
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    links = cut(links.join(degree, "src"))
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
-        given = links.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        kept = links.select("src").distinct()
-        lost = ranks.join(kept, F.col("node") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = nodes.join(given, "node", "left").crossJoin(F.broadcast(lost))  # one row
-        ranks = cut(ranks.select("node", ((1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
+
+def pagerank(
+    edges: DataFrame, rounds: int = 100, damping: float = 0.85, boosted: DataFrame | None = None, boost: float = 2.0,
+    tolerance: float = 1e-6, spread: bool = True, one_task: int = ONE_TASK_EDGES,
+) -> DataFrame:
+    """node, rank: power iteration over distinct edges until ranks change by less than tolerance in all, or for `rounds` rounds.
+
+    The rank of nodes without successors is spread over all, or lost (spread=False); at the end ranks are brought to sum 1.
+    Up to one_task edges are gathered in one task, which takes all rounds in arrays; more go through a join and a sum a round, with edges
+    kept by source and ranks written. boosted: node, whose rank counts `boost` times before the ranks are brought to sum 1."""
+    links = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    few = links.count() <= one_task
+    ranks = _ranks_in_a_task(links, rounds, damping, tolerance, spread) if few else _ranks_by_joins(links, rounds, damping, tolerance, spread)
     if boosted is not None:
         hit = boosted.select("node").distinct().withColumn("hit", F.lit(True))
         ranks = ranks.join(hit, "node", "left").select("node", F.when(F.col("hit"), F.col("rank") * boost).otherwise(F.col("rank")).alias("rank"))
@@ -120,6 +113,73 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, boosted:
     return ranks.crossJoin(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))  # one row
 
 
+def _ranks_in_a_task(links: DataFrame, rounds: int, damping: float, tolerance: float, spread: bool) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat([pd.DataFrame({"src": [], "dst": []}, dtype=object), *batches], ignore_index=True)
+        if held.empty:
+            return
+        codes, names = pd.factorize(pd.concat([held["src"], held["dst"]], ignore_index=True))
+        src, dst, n = codes[: len(held)], codes[len(held) :], len(names)
+        degree = np.bincount(src, minlength=n)
+        share = 1.0 / degree[src]
+        rank = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            lost = rank[degree == 0].sum() if spread else 0.0
+            new = (1 - damping) / n + damping * (np.bincount(dst, rank[src] * share, minlength=n) + lost / n)
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < tolerance:
+                break
+        yield pd.DataFrame({"node": names, "rank": rank})
+
+    return cut(links.coalesce(1).mapInPandas(run, "node string, rank double"))
+
+
+def _ranks_by_joins(links: DataFrame, rounds: int, damping: float, tolerance: float, spread: bool) -> DataFrame:
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    held = links.join(degree, "src").repartition("src").persist()
+    nodes = cut(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    n = max(1, nodes.count())
+    ranks, mass = nodes.withColumn("rank", F.lit(1.0 / n)), 1.0
+    for _ in range(rounds):
+        given = held.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
+        both = cut(ranks.join(given, "node", "left").select("node", F.col("rank").alias("was"), F.coalesce("given", F.lit(0.0)).alias("given")))
+        # what isn't given on is what nodes without successors had
+        kept = both.agg(F.sum("given")).first()[0] or 0.0
+        base = (1 - damping) / n + (damping * (mass - kept) / n if spread else 0.0)
+        ranks = both.select("node", (base + damping * F.col("given")).alias("rank"))
+        mass = base * n + damping * kept
+        if tolerance and (both.agg(F.sum(F.abs(base + damping * F.col("given") - F.col("was")))).first()[0] or 0.0) < tolerance:
+            break
+    ranks = cut(ranks)
+    held.unpersist()
+    return ranks
+
+
+_memo: dict[tuple, DataFrame] = {}
+
+
+def pagerank_once(key: str, edges: DataFrame, changed: tuple[str, ...] = (), **options) -> DataFrame:
+    """pagerank() of the graph that key names, with changed nodes boosted; kept for the session by both, in the shared folder."""
+    spark = edges.sparkSession
+    at = (spark.sparkContext.applicationId, key, tuple(sorted(changed)), tuple(sorted(options.items())))
+    if at not in _memo:
+        boosted = spark.createDataFrame([(c,) for c in sorted(changed)], "node string") if changed else None
+        _memo[at] = cut(pagerank(edges, boosted=boosted, **options))
+    return _memo[at]
+
+
+def call_path(edges: DataFrame, nodes: DataFrame, start: str, goal: str, max_depth: int = 10) -> list[str]:
+    """The shortest chain of function names from start to goal: the files that contain a name, then the names that those files call. [start] if equal; [] if none is found within max_depth (at most 10)."""
+    if start == goal:
+        return [start]
+    names = nodes.where("kind != 'file'").select("id", "name")
+    holds = edges.where("relation = 'CONTAINS'").join(names, F.col("dst") == F.col("id")).select(F.col("name").alias("caller"), F.col("src").alias("file"))
+    calls = edges.where("relation = 'CALLS'").join(names, F.col("dst") == F.col("id")).select(F.col("src").alias("file"), F.col("name").alias("callee"))
+    steps = holds.join(calls, "file").where("caller != callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    found = reach(steps, start, min(max_depth, 10)).where(F.col("node") == goal).select("route").first()
+    return found["route"].split("->") if found else []
+
+
 def augment(scores: DataFrame, graph_files: DataFrame, factor: float = 0.3) -> DataFrame:
     """Add files of the graph that the list lacks, at factor of its best score."""
     top = scores.agg((F.max("score") * factor).alias("score"))

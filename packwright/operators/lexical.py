@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.functions.text import lexical_terms
@@ -17,6 +17,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", F.explode_outer(F.get(listed, F.lit(0))).alias("p")).select("id", "p.dl", "p.term")
 
 
+def weighted(idf: Column, dl: Column, avgdl: Column) -> Column:
+    """A term's part of the score; terms are distinct in a chunk, so their frequency there is 1."""
+    return idf * (K1 + 1) / (1 + K1 * (1 - B + B * dl / avgdl))
+
+
 def bm25(chunks: DataFrame, query: list[str]) -> DataFrame:
     """id, score for chunks with a term of the query. chunks: id, text.
 
@@ -29,7 +34,7 @@ def bm25(chunks: DataFrame, query: list[str]) -> DataFrame:
     mean = idf.agg(F.avg("raw").alias("mean"))
     wanted = idf.where(F.col("term").isin(query)).crossJoin(F.broadcast(mean))
     wanted = wanted.select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    weight = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weight = weighted(F.col("idf"), F.col("dl"), F.col("avgdl"))
     return posts.where(F.col("term").isin(query)).join(F.broadcast(wanted), "term").groupBy("id").agg(F.sum(weight).alias("score"))  # at most one row a query term
 
 

@@ -13,9 +13,26 @@ def manifest_diff(stored: DataFrame, current: DataFrame) -> DataFrame:
     return s.join(c, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """table with rows in place of those of equal keys; of rows with one key any last write is chosen upstream."""
-    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+def upsert(table: DataFrame, rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """table with rows in place of those of equal keys; of rows with one key the last by order stays (without order, the greatest). order is no column of the table."""
+    names = table.columns
+    last = F.max(F.struct(*([F.col(order).alias("_order")] if order else []), *names)).alias("_last")
+    new = rows.groupBy(*key).agg(last).select(*[F.col("_last")[n].alias(n) for n in names])
+    return table.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def clear(table: DataFrame) -> DataFrame:
+    """The table without its rows."""
+    return table.limit(0)
+
+
+def dedup_marks(rows: DataFrame, session: str, path: str, content: str, order: list[str]) -> DataFrame:
+    """rows with the content that a session has had before replaced by a mark that names the path it came with."""
+    held = rows.withColumn("_hash", F.sha2(F.coalesce(content, F.lit("")), 256))
+    first = held.groupBy(session, "_hash").agg(F.min(F.struct(*order, F.col(path).alias("_path"))).alias("_least"))
+    mark = F.concat(F.lit("[DEDUPLICATED: "), F.col("_least._path"), F.lit(" \u2014 already sent in this session. Hash: "), F.left("_hash", F.lit(8)), F.lit("]"))
+    same = F.struct(*order) == F.struct(*[F.col("_least")[o] for o in order])
+    return held.join(first, [session, "_hash"]).withColumn(content, F.when(same, F.col(content)).otherwise(mark)).select(rows.columns)
 
 
 def delete_file(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,14 +20,3 @@ def similarity(vectors: DataFrame, query: list[float], kind: str = "cosine") ->
         return pd.Series(1 - ((m - q) ** 2).sum(axis=1) / 2)
 
     return vectors.where("vector is not null").select("id", score("vector").alias("score"))
-
-
-def hash_embedding(text: str, dim: int = 64) -> list[float]:
-    """A deterministic stand-in for a model: signed feature hashing of words, unit length."""
-    import zlib
-
-    v = np.zeros(dim)
-    for w in text.lower().split():
-        h = zlib.crc32(w.encode())
-        v[h % dim] += 1 if h >> 16 & 1 else -1
-    return (v / max(1e-12, float(np.linalg.norm(v)))).tolist()

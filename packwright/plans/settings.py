@@ -7,6 +7,8 @@ import posixpath
 import re
 from dataclasses import dataclass, field, fields
 
+from packwright.functions import fixed
+
 log = logging.getLogger(__name__)
 
 # Forms of a pack, and the globs that are taken and left out unless told otherwise.
@@ -82,13 +84,12 @@ def inside(root: str, path: str) -> str:
     return full
 
 
-_CALLERS = re.compile(r"\b(?:callers?\s+of|(?:who|what)\s+(?:calls|uses)|called\s+by|(?:where\s+is|is)\b.*\bdefined|defined\s+(?:at|in))\b", re.I)
-_IMPACT = re.compile(r"\b(?:impact|affect(?:s|ed)?|break(?:s)?|depend(?:s|ents?|encies)?)\b", re.I)
-_ASKING = {"who", "what", "where", "which", "is", "are", "the", "a", "an", "of", "if", "i", "in", "at", "on", "by", "to", "does", "do", "will", "would", "calls", "call", "called", "caller", "callers", "uses", "defined", "impact", "affect", "affects", "affected", "break", "breaks", "depend", "depends", "dependents", "dependencies", "change", "changing", "function", "class"}
-
-
-def graph_intent(query: str) -> tuple[str | None, str | None]:
-    """callers, impact or None, and the first identifier of the query (dots kept) that isn't a word of the question."""
-    kind = "callers" if _CALLERS.search(query) else "impact" if _IMPACT.search(query) else None
-    names = (n.rstrip(".") for n in re.findall(r"[A-Za-z_][\w.]*", query))
-    return kind, next((n for n in names if n.lower() not in _ASKING), None) if kind else None
+def graph_intent(query: str) -> tuple[str, str]:
+    """callers_of, impact_of or none, and the first identifier of the query (dots kept) that isn't a word of the question; as text.graph_intent has it."""
+    if re.search(fixed.CALLERS, query, re.I) or re.search(fixed.DEFINED, query, re.I):
+        kind = "callers_of"
+    elif re.search(fixed.IMPACT, query, re.I):
+        kind = "impact_of"
+    else:
+        return "none", ""
+    return kind, next((n for n in re.findall(fixed.IDENTIFIER, query) if n.lower() not in fixed.ASKING), "")

@@ -45,6 +45,100 @@ def test_pagerank_star_and_cycle(spark):
     assert all(abs(r["rank"] - 1 / 3) < 1e-9 for r in graph.pagerank(ring, 5).collect())
 
 
+@pytest.mark.parametrize("one_task", [0, 10**6])
+@pytest.mark.parametrize("spread", [True, False])
+def test_pagerank_settles(spark, one_task, spread):
+    """Against the linear system, in one task and by joins; a repeated edge counts once."""
+    import numpy as np
+
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("e", "d"), ("a", "b"), ("f", "f")]
+    names = sorted({x for e in edges for x in e})
+    move = np.zeros((len(names), len(names)))
+    for s, d in set(edges):
+        move[names.index(d), names.index(s)] = 1 / len({y for x, y in edges if x == s})
+    if spread:
+        move[:, move.sum(axis=0) == 0] = 1 / len(names)
+    want = np.linalg.solve(np.eye(len(names)) - 0.85 * move, np.full(len(names), 0.15 / len(names)))
+    got = {r["node"]: r["rank"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string"), 100, tolerance=1e-4, spread=spread, one_task=one_task).collect()}
+    assert all(abs(got[n] - w / want.sum()) < 1e-3 for n, w in zip(names, want, strict=True)) and abs(sum(got.values()) - 1) < 1e-9
+    none = spark.createDataFrame([], "src string, dst string")
+    assert graph.pagerank(none, one_task=one_task).count() == 0
+
+
+def test_call_path(spark):
+    nodes = spark.createDataFrame([(f"f{k}#{n}", "function", n) for k, n in enumerate("abcd")] + [(f"f{k}", "file", f"f{k}") for k in range(4)], "id string, kind string, name string")
+    edges = spark.createDataFrame([(f"f{k}", "CONTAINS", f"f{k}#{n}") for k, n in enumerate("abcd")] + [("f0", "CALLS", "f1#b"), ("f1", "CALLS", "f2#c"), ("f1", "CALLS", "f0#a")], "src string, relation string, dst string")
+    assert graph.call_path(edges, nodes, "a", "c") == ["a", "b", "c"] and graph.call_path(edges, nodes, "a", "a") == ["a"]
+    assert graph.call_path(edges, nodes, "a", "d") == [] and graph.call_path(edges, nodes, "a", "c", 1) == []
+
+
+def test_index_is_made_anew_when_stale(spark, tmp_path):
+    from packwright.operators import index
+
+    files_ = spark.createDataFrame([(1, "a.py", "def loadUser(x): pass"), (2, "b.py", None), (3, "c.py", "user user_name")], "id int, path string, text string")
+    folder = f"file://{tmp_path}/index"
+    first, made = index.load_fresh(files_, folder)
+    assert made and index.load_fresh(files_, folder)[1] is False
+    assert {r["path"] for r in index.bm25(first, ["user"]).collect()} == {"a.py", "c.py"}
+    more = files_.unionByName(spark.createDataFrame([(4, "d.py", "user")], files_.schema))
+    assert [tuple(r) for r in index.changes(first, more).collect()] == [("d.py", "added")]
+    again, made = index.load_fresh(more, folder)
+    assert made and again.manifest.count() == 4
+    (tmp_path / "index/totals").rename(tmp_path / "index/lost")  # a broken index is made anew, too
+    assert index.load_fresh(more, folder)[0].totals.first()["n"] == 4
+
+
+def test_retrieve_adds_named_files_and_reranks(spark):
+    from packwright.functions import udfs
+    from packwright.operators import retrieval
+
+    semantic = spark.createDataFrame([("a.py", 0.9), ("tests/b.py", 0.8), ("c.py", 0.1)], "path string, score double")
+    structural = spark.createDataFrame([("c.py", 0.5)], "path string, score double")
+    held = spark.createDataFrame([("a.py", ["x"]), ("tests/b.py", []), ("c.py", ["y"]), ("d.py", ["loaduser"]), ("e.py", ["z"])], "path string, symbols array<string>")
+    asked = retrieval.Query(tokens=("loaduser",), kind="symbol", rules=("c.py",))
+    got = [r["path"] for r in retrieval.retrieve(semantic, structural, held, asked, 10).collect()]
+    assert got[0] == "c.py" and set(got) == {"a.py", "tests/b.py", "c.py", "d.py"}
+    texts = held.select("path", F.col("path").alias("text"))
+    by_length = udfs.reranker("q", texts, lambda: lambda q, t: [len(x) for x in t], "length")
+    assert retrieval.retrieve(semantic, structural, held, asked, 10, by_length).first()["path"] == "tests/b.py"
+
+
+def test_query_and_pack(spark):
+    from packwright.operators import retrieval
+
+    scores = spark.createDataFrame([("a.py", 0.9), ("b.py", 0.8), ("c.py", 0.2)], "path string, score double")
+    held = spark.createDataFrame([("a.py", "password = hunter22", 4), ("b.py", "same", 1), ("c.py", "same", 1), ("g.py", "graph", 1)], "path string, content string, tokens long")
+    chosen = retrieval.choose(scores, held, 100, graph_files=spark.createDataFrame([("g.py",), ("a.py",)], "path string"), compress=True)
+    pack = retrieval.query_and_pack(chosen, "md", {"query": "q"})
+    assert pack.paths == ["a.py", "b.py", "g.py", "c.py"] and pack.tokens == 7 and "hunter22" not in pack.text and "[DEDUPLICATED: b.py" in pack.text
+    assert "REDACTED" in retrieval.query_and_pack(chosen, "xml", {}).text
+    with pytest.raises(ValueError):
+        retrieval.query_and_pack(retrieval.choose(scores, held, 1), "xml", {})
+
+
+def test_plugged_in_functions(spark):
+    import numpy as np
+
+    from packwright.functions import udfs
+
+    files_ = spark.createDataFrame([(1, "a b", "h1"), (2, None, "h2"), (3, "a b", "h1")], "id int, text string, sha256 string")
+    cache = spark.createDataFrame([("h2", [7.0])], "sha256 string, vector array<float>")
+    embed = udfs.embedder(lambda: lambda texts: np.array([[len(t)] for t in texts]), "length")
+    assert {r["id"]: list(r["vector"]) for r in udfs.embedded(files_, cache, embed).collect()} == {1: [3.0], 2: [7.0], 3: [3.0]}
+    count = udfs.token_counter(lambda: lambda t: len(t.split()), "words")
+    assert [r[0] for r in files_.select(count(F.col("text"))).collect()] == [2, 0, 2]
+    assert abs(np.linalg.norm(files_.limit(1).select(udfs.embedder()(F.col("text"))).first()[0]) - 1) < 1e-6
+
+
+def test_arrow_functions_and_scanner(spark):
+    js = "const f = (a, b) => {\n  return '}' + `}\n}` // }\n};\nlet g = x => x;\nclass A {\n  m() { /* } */ }\n}\n"
+    rows = spark.createDataFrame([("a.js", js, "javascript")], "path string, content string, language string")
+    got = {r["symbols_defined"][0]: (r["start_line"], r["end_line"]) for r in chunks.chunk_code(rows).collect()}
+    assert got == {"f": (1, 4), "g": (5, 5), "A": (6, 8)}
+    parts = chunks.split_by(chunks.chunk_code(rows), lambda content, language: [(1, 1), (2, content.count("\n") + 1)] if "\n" in content else [(1, 1)])
+    assert sorted((r["start_line"], r["end_line"], len(r["symbols_defined"])) for r in parts.collect()) == [(1, 1, 1), (2, 4, 0), (5, 5, 1), (6, 6, 1), (7, 8, 0)]
+
+
 def test_module_resolution_takes_longest(spark):
     refs = spark.createDataFrame([("x.py", "pkg.util.run"), ("x.py", "nothing")], "path string, ref string")
     mods = spark.createDataFrame([("src/run.py",), ("src/util/run.py",)], "file string")
@@ -68,9 +162,7 @@ def test_budget_rule_is_a_prefix(sizes):
     assert (running <= 5 + 1e-12).sum() >= n
 
 
-def test_query_kinds():
-    assert fuse.classify_query("auth flow", ["auth"]) == "path-dominant"
-    assert fuse.classify_query("parseConfig", []) == "semantic-dominant" and fuse.classify_query("see ParseConfig", []) == "symbol"
+def test_keyword_matches():
     assert fuse.keyword_matches("authentication", "authorize") is False and fuse.keyword_matches("config", "configuration")
 
 
@@ -122,9 +214,10 @@ def test_limits_paths_and_intents():
     for bad in ("../bc/x", "/etc/passwd"):
         with pytest.raises(ValueError):
             settings.inside("/a/b", bad)
-    assert settings.graph_intent("who calls auth.login?") == ("callers", "auth.login")
-    assert settings.graph_intent("what breaks if I change parse_config") == ("impact", "parse_config")
-    assert settings.graph_intent("session handling") == (None, None)
+    assert settings.graph_intent("who calls auth.login?") == ("callers_of", "auth.login")
+    assert settings.graph_intent("what breaks on change of parse_config") == ("impact_of", "parse_config")
+    assert settings.graph_intent("find callers of foo") == ("callers_of", "foo") and settings.graph_intent("who imports utils") == ("impact_of", "utils")
+    assert settings.graph_intent("refactor db.py") == ("impact_of", "db.py") and settings.graph_intent("session handling") == ("none", "")
 
 
 def test_walk_leaves_out_ignored_and_hidden(spark, tmp_path):
