@@ -26,6 +26,8 @@ from packwright.llm.token_output import open_store
 UNIT = 64
 STORED_RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
 FRAME, HOP, FFT, MELS = 200, 80, 256, 20
+#: Steps of one in the stored log energies: whole 128ths take half the room of all 32 bits when compressed.
+STEPS = 128
 #: Frames of one tensor, and of the energy window; levels in dB over the floor that open and close a segment; shortest segment.
 TILE, OPEN_DB, CLOSE_DB, SHORTEST = 64, 6.0, 3.0, 5
 #: Of the files that stand beside the tensors.
@@ -118,13 +120,13 @@ class Features:
     def of(payload: bytes) -> Features:
         x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
         rate = STORED_RATE * UP / DOWN
-        mel = log_mel(resample(x), rate)
+        mel = np.round(log_mel(resample(x), rate) * np.float32(STEPS)) / np.float32(STEPS)
         return Features(mel, [(a * HOP / rate, (b - 1) * HOP / rate + FRAME / rate) for a, b in segments(mel)])
 
     def tiles(self) -> np.ndarray:
         """Tensors of one shape, tiles x TILE x MELS; the last is filled up with the silence level."""
         n = -(-len(self.mel) // TILE)
-        out = np.full((n * TILE, MELS), np.float32(np.log(1e-6)))
+        out = np.full((n * TILE, MELS), np.float32(round(np.log(1e-6) * STEPS) / STEPS))
         out[: len(self.mel)] = self.mel
         return out.reshape(n, TILE, MELS)
 
@@ -257,8 +259,9 @@ def digests_of(tensors: pa.RecordBatch) -> list[str]:
 def media_digests(documents: DataFrame) -> DataFrame:
     """Store media, read them back, store their features as fixed-shape Arrow tensors, read those back: one row per row of documents.
 
-    feature comes from the tensors and spans as read. Null and empty texts have a payload of UNIT zero bytes. Rows with equal texts,
-    also those that repeat, have equal values but for doc_id; null ids are kept, other columns left out."""
+    feature comes from the tensors and spans as read. Null and empty texts have a payload of UNIT zero bytes, very long ones are stored and read whole.
+    Rows with equal texts, also those that repeat, have equal values but for doc_id; null ids are kept, other columns, whatever their names, left out. An empty table
+    gives no rows."""
     folder, names, files = tensor_files(store_media(documents))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

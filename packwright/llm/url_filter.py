@@ -19,7 +19,7 @@ BLOCK_GLOBS = (
     "ad.**", "ads.**", "ads-**", "adserver**", "*.ads.**", "*-ads.**", "track.**", "tracker.**", "tracking.**", "*-track.**", "*-tracker.**", "pixel.**",
     "**/ads/**", "**/adserver/**", "**/banner/**", "**/popunder/**", "**doubleclick.**",
 )
-#: Cells of one batch matrix (URLs x length).
+#: Bytes of one batch's matrices (URLs x length, URLs x words of states).
 CELLS = 1 << 22
 
 
@@ -66,7 +66,7 @@ class Automaton:
         order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
         at = 0
         while at < len(order):
-            rows = order[at : at + max(1, CELLS // max(1, len(strings[order[at]])))]
+            rows = order[at : at + max(1, CELLS // max(1, len(strings[order[at]]), 8 * len(self.start)))]
             out[rows] = self._run([strings[i] for i in rows])
             at += len(rows)
         return out
@@ -99,14 +99,19 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in host), path
 
 
+def rules_of(rules: DataFrame) -> tuple[tuple[str, str, str], ...]:
+    """Host rules of a table (verdict, host, path), for filter_urls. The automaton is in every worker's memory, about 4 KB a state word, so a table of rules is small."""
+    return tuple((r["verdict"], r["host"], r["path"] or "/") for r in rules.select("verdict", "host", "path").where("host is not null").distinct().orderBy("host", "path", "verdict").collect())
+
+
 def filter_urls(pages: DataFrame, host_rules=HOST_RULES, block_globs=BLOCK_GLOBS) -> DataFrame:
     """page_id, host, path, rule, verdict and the block globs that match, for each row of pages.
 
     Host rules become two globs each (the host, and "*." before it); of those that
     fit, the longest gives rule and verdict, an earlier one first among equals.
     Without any, rule is null and a matching block glob decides, else allow.
-    A null or malformed URL has empty host and path, and no rule, so it is allowed.
-    Other columns of pages are left out. Rows are neither joined nor moved."""
+    A null, empty or malformed URL has empty host and path, and no rule, so it is allowed. Very long URLs are read whole; repeated rows are judged alike.
+    Other columns of pages, whatever their names, are left out; an empty table gives no rows. Rows are neither joined nor moved."""
     bound_batches(pages.sparkSession)
     ranked = sorted(host_rules, key=lambda r: -len(r[1] + r[2]))
     globs = [g for _, h, p in ranked for g in (f"{h}{p}**", f"*.{h}{p}**")]

@@ -738,6 +738,22 @@ def test_urls(spark):
     assert url_filter.filter_urls(rows.limit(0)).count() == 0
 
 
+def test_thousands_of_rules(spark):
+    """Many words of states, against plain comparisons; rules from a table."""
+    rng = random.Random(2)
+    rules = sorted({(f"{rng.choice('abcdefgh')}{rng.randrange(400)}.{rng.choice(('com', 'org'))}", rng.choice(("/", "/en/", "/x/y"))) for _ in range(3000)})
+    table = spark.createDataFrame([(("block", "allow")[k % 2], h, p) for k, (h, p) in enumerate(rules)], "verdict string, host string, path string")
+    verdicts = {r: ("block", "allow")[k % 2] for k, r in enumerate(rules)}
+    assert len(url_filter.Automaton.compile([h + p for h, p in rules]).start) > 64
+    urls = [f"http://{rng.choice(('', 'www.', 'x'))}{rng.choice(rules)[0]}{rng.choice(('/', '/en/1', '/x/yz', ''))}" for _ in range(300)]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rules_of(table), ()).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        fits = [(h, p) for h, p in rules if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        best = max(fits, key=lambda x: len(x[0] + x[1]), default=None)
+        assert (r["rule"], r["verdict"]) == ((best[0] + best[1], verdicts[best]) if best else (None, "allow"))
+
+
 # 10 ------------------------------------------------------------------------------------------------------
 
 
