@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from packwright.sources.shared import bound_batches
+from packwright.sources.shared import bound_batches, spread
 
 CHUNK = "path string, start_line int, end_line int, content string, symbols_defined array<string>, symbols_referenced array<string>, language string"
 #: Characters other than white space of one chunk.
@@ -131,7 +131,7 @@ def chunk_code(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "content", "symbols_defined", "symbols_referenced", "language"])
 
     bound_batches(files.sparkSession)
-    return files.select("path", "content", "language").mapInPandas(run, CHUNK)
+    return spread(files.select("path", "content", "language")).mapInPandas(run, CHUNK)
 
 
 def markdown_sections(files: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def split_large(chunks: DataFrame, limit: int = LARGE) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "content", "symbols_defined", "symbols_referenced", "language"])
 
     bound_batches(chunks.sparkSession)
-    return chunks.select("path", "start_line", "end_line", "content", "symbols_defined", "symbols_referenced", "language").mapInPandas(run, CHUNK)
+    return spread(chunks.select("path", "start_line", "end_line", "content", "symbols_defined", "symbols_referenced", "language")).mapInPandas(run, CHUNK)
 
 
 def enriched(path: Column, kind: Column, start: Column, end: Column, content: Column) -> Column:

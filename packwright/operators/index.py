@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packwright.functions.text import content_hash, lexical_terms
 from packwright.operators.lexical import EPSILON, weighted
 from packwright.operators.maintain import manifest_diff
-from packwright.sources.shared import remove
+from packwright.sources.shared import remove, spread
 
 RELATIONS = ("postings", "terms", "totals", "manifest")
 
@@ -35,7 +35,7 @@ def save(files: DataFrame, folder: str) -> None:
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     remove(spark, f"{folder}/manifest")
     text = F.coalesce("text", F.lit(""))
-    write(files.select("id", "path", content_hash(F.col("text")).alias("sha256"), lexical_terms(text).alias("terms")), "texts")
+    write(spread(files.select("id", "path", "text")).select("id", "path", content_hash(F.col("text")).alias("sha256"), lexical_terms(text).alias("terms")), "texts")
     listed = read("texts")
     posts = listed.select("id", "path", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     write(posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from packwright.functions import text as X
 from packwright.operators import chunks, domain, fuse, graph, index, lexical, maintain, measures, retrieval, vector
 from packwright.sources import files, sinks
-from packwright.sources.shared import shared_dir, stamp
+from packwright.sources.shared import shared_dir, spread, stamp
 from packwright.streaming import sessions
 
 TERMS = ["erin", "thor", "onea", "reand"]
@@ -92,10 +92,15 @@ k AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE r
 b AS (SELECT id, sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM w JOIN k USING (term), n GROUP BY id)"""
 
 
-def saved_index(spark: SparkSession, sf: str) -> index.Index:
-    """The index of the documents, saved in the shared folder under a name that changes with their files; made where it isn't there."""
+def index_folder(spark: SparkSession, sf: str) -> str:
+    """Where the documents' index is: in the shared folder, under a name that changes with their files."""
     name = hashlib.sha256(stamp(spark, f"{sf}/documents.parquet").encode()).hexdigest()[:16]
-    folder = f"{shared_dir(spark)}/packwright/index/{name}"
+    return f"{shared_dir(spark)}/packwright/index/{name}"
+
+
+def saved_index(spark: SparkSession, sf: str) -> index.Index:
+    """The index of the documents; made where it isn't there."""
+    folder = index_folder(spark, sf)
     if not index.exists(spark, folder):
         index.save(documents(spark, sf).select(F.col("doc_id").alias("id"), "path", "text"), folder)
     return index.load(spark, folder)
@@ -449,10 +454,15 @@ def regex_chunks(spark, sf):
     return chunks.chunk_code(made)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILES}, x AS (SELECT path, lang, string_split(text, chr(10)) AS x FROM f),
+l AS MATERIALIZED (SELECT path, lang, line, k, length(regexp_replace(line, '\\s', '', 'g')) AS n FROM (SELECT path, lang, unnest(x) AS line, generate_subscripts(x, 1) AS k FROM x)),
+s AS (SELECT path, k, 0 AS part, n AS size FROM l WHERE k = 1
+UNION ALL SELECT l.path, l.k, CASE WHEN s.size + l.n > 1500 THEN s.part + 1 ELSE s.part END, CASE WHEN s.size + l.n > 1500 THEN l.n ELSE s.size + l.n END FROM s JOIN l ON l.path = s.path AND l.k = s.k + 1)
+SELECT path, min(k) AS start_line, max(k) AS end_line, string_agg(line, chr(10) ORDER BY k) AS content, CASE WHEN part = 0 THEN path ELSE '' END AS defined, any_value(lang) AS refs, any_value(lang) AS language
+FROM s JOIN l USING (path, k) GROUP BY path, part""")
 def split_large(spark, sf):
     whole = documents(spark, sf).select("path", F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content"), F.array("path").alias("symbols_defined"), F.array("lang").alias("symbols_referenced"), F.col("lang").alias("language"))
-    return chunks.split_large(whole)
+    return chunks.split_large(whole).select("path", "start_line", "end_line", "content", F.array_join("symbols_defined", ",").alias("defined"), F.array_join("symbols_referenced", ",").alias("refs"), "language")
 
 
 @query(f"WITH {FILES} SELECT path FROM f WHERE (starts_with(path, 'src1/') OR regexp_full_match(path, 'src2.*\\.txt')) AND NOT regexp_full_match(path, '(.*/)?es/.*')")
@@ -543,7 +553,11 @@ def session_dedup(spark, sf):
     return maintain.first_seen(rows, "source", "sha256", ["doc_id"]).select("source", "doc_id", "first")
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_ns(ts)::DOUBLE / 1e9 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+b AS (SELECT user_id, event_id, t, k, 4::DOUBLE AS held, true AS allowed FROM e WHERE k = 1
+UNION ALL SELECT user_id, event_id, t, k, x - CASE WHEN x >= 1 THEN 1 ELSE 0 END, x >= 1
+FROM (SELECT e.user_id, e.event_id, e.t, e.k, least(5::DOUBLE, b.held + (e.t - b.t) * (1::DOUBLE / 3600)) AS x FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1))
+SELECT user_id, event_id, allowed FROM b""")
 def rate_limit(spark, sf):
     return sessions.rate_limit(table(spark, sf, "events"))
 
@@ -561,7 +575,7 @@ def _found_sql(column: str) -> str:
 
 @query(f"WITH {FILES} SELECT path, {_found_sql('text')} AS secrets, {_redact_sql('text')} AS text FROM f")
 def secret_redact(spark, sf):
-    return documents(spark, sf).select("path", F.array_join(X.secrets_found(F.col("text")), ",").alias("secrets"), X.redact(F.col("text")).alias("text"))
+    return spread(documents(spark, sf).select("path", "text")).select("path", F.array_join(X.secrets_found(F.col("text")), ",").alias("secrets"), X.redact(F.col("text")).alias("text"))
 
 
 @query()

@@ -28,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, size: int = 32 << 20) -> DataFrame:
+    """df dealt evenly over all cores if its input has at most `size` bytes a core: a small file is often one row group, which one task would read and work on alone.
+
+    A larger input comes in many splits and stays where it is read. Rows are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if held <= size * cores else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
