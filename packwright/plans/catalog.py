@@ -578,7 +578,10 @@ def secret_redact(spark, sf):
     return spread(documents(spark, sf).select("path", "text")).select("path", F.array_join(X.secrets_found(F.col("text")), ",").alias("secrets"), X.redact(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"""WITH {FILES}, {STRUCTURE}, m AS ({NORM('p')}), w AS (SELECT path, text, regexp_replace(split_part(text, ' ', 1), '[^A-Za-z0-9_]', '', 'g') AS a, regexp_replace(split_part(text, ' ', 2), '[^A-Za-z0-9_]', '', 'g') AS b, regexp_replace(text, '^(?:[ \\t]*\\n|[ \\t]+[^\\n]*(?:\\n|$))*', '') AS rest FROM f)
+SELECT path || '.py' AS path, CASE WHEN score >= 0.6 THEN 'def ' || a || 'x()' || chr(10) || 'class ' || b || '_' || chr(10) || text
+ELSE 'def ' || a || 'x()' || chr(10) || '    # ... implementation' || chr(10) || 'class ' || b || '_' || chr(10) || '    # ... implementation' || CASE WHEN rest = '' THEN '' ELSE chr(10) || rest END END AS content
+FROM w JOIN m USING (path)""")
 def compress(spark, sf):
     made = code_files(spark, sf).select(F.concat("path", F.lit(".py")).alias("path"), "content")
     scores = fuse.min_max(structural(spark, sf)).select(F.concat("path", F.lit(".py")).alias("path"), "score")
