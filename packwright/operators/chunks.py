@@ -16,6 +16,8 @@ from packwright.sources.shared import bound_batches, spread
 CHUNK = "path string, start_line int, end_line int, content string, symbols_defined array<string>, symbols_referenced array<string>, language string"
 #: Characters other than white space of one chunk.
 LARGE = 1500
+#: What opens a body in Python, whatever its name looks like.
+_DEFINED = re.compile(r"\s*(?:(?:async\s+)?def|class)\s")
 _BRACED = re.compile(r"^\s*(?:export\s+|pub\s+|public\s+|private\s+|static\s+|async\s+|default\s+|abstract\s+)*(?:function\*?|class|interface|enum|struct|trait|impl|fn)\s+([A-Za-z_$][\w$]*)")
 _ARROW = re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>")
 _NAMES = re.compile(r"[A-Za-z_]\w*")
@@ -223,10 +225,10 @@ def _signatures(content: str, path: str, score: float) -> str:
     if pd.isna(score) or score >= 0.6 or not path.endswith((".py", ".js", ".ts", ".tsx", ".jsx")):
         return content
     lines, out, k = content.split("\n"), [], 0
-    mark = "# ... implementation" if path.endswith(".py") else "// ... implementation"
+    opens, mark = (_DEFINED, "# ... implementation") if path.endswith(".py") else (_BRACED, "// ... implementation")
     while k < len(lines):
         line = lines[k]
-        if re.match(r"\s*(?:async\s+)?def\s", line) or _BRACED.match(line):
+        if opens.match(line):
             indent = len(line) - len(line.lstrip())
             out.append(line)
             if path.endswith(".py"):

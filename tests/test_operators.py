@@ -37,6 +37,13 @@ def test_compress(spark):
     assert got["b.py"] == "def f(a):\n    # ... implementation\nx = 1" and '"""Say."""' in got["c.py"] and "return" not in got["c.py"]
 
 
+def test_compress_takes_any_name(spark):
+    """A class is one in Python even if its name starts with a digit; words of other languages open nothing there."""
+    src = "def 1x()\nclass 017_\n  body\n\n\tbody\nfunction f stays"
+    rows = spark.createDataFrame([("a.py", src, 0.4)], "path string, content string, score double")
+    assert chunks.compress(rows).first()["content"] == "def 1x()\n    # ... implementation\nclass 017_\n    # ... implementation\nfunction f stays"
+
+
 def test_pagerank_star_and_cycle(spark):
     star = spark.createDataFrame([("main", "helper"), ("utils", "helper")], "src string, dst string")
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(star, 30).collect()}
