@@ -94,7 +94,8 @@ def infer_domain(path: Column, keywords: list[str]) -> Column:
 
 def summary_line(text: Column, width: int = 140) -> Column:
     """The first line that isn't empty or a comment, cut to width."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
+    # F.trim alone would be given each line's number as what to trim.
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
     return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, width), F.lit(""))
 
 

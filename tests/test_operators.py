@@ -44,6 +44,13 @@ def test_compress_takes_any_name(spark):
     assert chunks.compress(rows).first()["content"] == "def 1x()\n    # ... implementation\nclass 017_\n    # ... implementation\nfunction f stays"
 
 
+def test_summary_line_trims_blanks_only(spark):
+    from packwright.functions import text as X
+
+    rows = spark.createDataFrame([("0990 a",), ("  # b\n  \n 11 c 1 ",), ("// d\n#\n",)], "t string")
+    assert [r[0] for r in rows.select(X.summary_line(F.col("t"))).collect()] == ["0990 a", "11 c 1", ""]
+
+
 def test_pagerank_star_and_cycle(spark):
     star = spark.createDataFrame([("main", "helper"), ("utils", "helper")], "src string, dst string")
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(star, 30).collect()}
