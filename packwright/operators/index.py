@@ -1,4 +1,4 @@
-"""A saved index: postings clustered by term, document frequencies, totals and a manifest as Parquet; queries read only what they ask for."""
+"""A saved index: postings in runs by term, document frequencies, totals and a manifest as Parquet; queries read only what they ask for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.functions.text import content_hash, lexical_terms
+from packwright.functions.text import content_hash
+from packwright.functions.words import inverted, opened
 from packwright.operators.lexical import EPSILON, weighted
 from packwright.operators.maintain import manifest_diff
 from packwright.sources.shared import remove, spread
@@ -28,28 +29,26 @@ class Index:
 def save(files: DataFrame, folder: str) -> None:
     """Write the index of files (id, path, text) below folder, in place of what is there.
 
-    Each text is split once; postings are sorted by term, so that a query's terms prune row groups. The manifest is
-    written last: a folder without one holds no index."""
+    Each text is split once. Postings stay in the task that made them: their files are runs that are sorted by term, one row a term, so a
+    query's terms prune pages and nothing is shuffled but counts by term. The manifest is written last: a folder without one holds no index."""
     spark = files.sparkSession
     write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}")
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     remove(spark, f"{folder}/manifest")
-    text = F.coalesce("text", F.lit(""))
-    write(spread(files.select("id", "path", "text")).select("id", "path", content_hash(F.col("text")).alias("sha256"), lexical_terms(text).alias("terms")), "texts")
-    listed = read("texts")
-    posts = listed.select("id", "path", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    write(posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
-    totals = listed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    write(totals, "totals")
-    counted = read("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(read("totals")))  # one row
+    write(files.select("path", content_hash(F.col("text")).alias("sha256")), "hashes")  # before the texts are split: what changes between is found stale
+    write(inverted(spread(files.select("id", "path", "text"))), "postings")
+    runs = read("postings").select("term", "n")
+    write(runs.groupBy("term").agg(F.sum("n").alias("df")), "counts")
+    counts = read("counts")
+    n, held = (F.coalesce(F.sum(F.when(which, F.col("df"))), F.lit(0)) for which in (F.col("term").isNull(), F.col("term").isNotNull()))
+    write(counts.agg(n.alias("n"), (held / F.nullif(n, F.lit(0))).alias("avgdl")), "totals")
+    counted = counts.where("term is not null").crossJoin(F.broadcast(read("totals")))  # one row
     raw = counted.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    write(raw, "raw_terms")
-    raw = read("raw_terms")
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     write(raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")).repartitionByRange("term").sortWithinPartitions("term"), "terms")  # one row
-    write(listed.select("path", "sha256"), "manifest")
-    for name in ("texts", "raw_terms"):
+    write(read("hashes"), "manifest")
+    for name in ("hashes", "counts"):
         remove(spark, f"{folder}/{name}")
 
 
@@ -59,7 +58,8 @@ def exists(spark: SparkSession, folder: str) -> bool:
 
 
 def load(spark: SparkSession, folder: str) -> Index:
-    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in RELATIONS))
+    runs, *others = (spark.read.parquet(f"{folder}/{name}") for name in RELATIONS)
+    return Index(opened(runs).select("id", "path", "dl", "term"), *others)
 
 
 def changes(index: Index, files: DataFrame) -> DataFrame:

@@ -102,6 +102,44 @@ def test_index_is_made_anew_when_stale(spark, tmp_path):
     assert index.load_fresh(more, folder)[0].totals.first()["n"] == 4
 
 
+ODD = ["", "a", "getHTTPResponse2Code snake_case __init__ _x 9lives 12ab_34 x1 A1B2 99", "é日loadUser ABCDef\x00tail0 İstanbul", "aB", "Bc", "1", "2x", "userUser user_USER " * 9, "_", "x" * 40 + "Y" * 40]
+
+
+@pytest.mark.parametrize("step", [1 << 20, 1, 7])
+def test_terms_by_arrays_are_those_by_expressions(spark, monkeypatch, step):
+    """Over whole batches, slices of them and steps that end within a text."""
+    import pyarrow as pa
+
+    from packwright.functions import text as X
+    from packwright.functions import words
+
+    monkeypatch.setattr(words, "STEP", step)
+    want = [set(r[0]) for r in spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "k int, t string").orderBy("k").select(X.identifier_parts(F.col("t"))).collect()]
+    for lo in (0, 3):
+        rows, terms = words.terms_of(pa.array(ODD).slice(lo))
+        got = [set() for _ in ODD[lo:]]
+        for k, t in zip(rows.tolist(), terms.to_pylist(), strict=True):
+            got[k].add(t)
+        assert got == want[lo:]
+
+
+def test_postings_are_runs_by_term(spark, tmp_path):
+    """A row a term and run, whatever its number of files; equal ids and texts without terms stay; both ways of scoring agree."""
+    from packwright.operators import index
+
+    rows = [(k // 2, f"{k}.py", f"user load{k % 3}" if k % 5 else None) for k in range(200)]
+    files_ = spark.createDataFrame(rows, "id int, path string, text string").repartition(3)
+    index.save(files_, f"file://{tmp_path}/index")
+    held, runs = index.load(spark, f"file://{tmp_path}/index"), spark.read.parquet(f"file://{tmp_path}/index/postings")
+    assert runs.where("term is not null").count() == runs.select("run", "term").where("term is not null").distinct().count() <= 5 * runs.select("run").distinct().count()
+    want = sorted((i, p, len(t.split()), x) if t else (i, p, 1, "") for i, p, t in rows for x in (t or " ").split(" ")[: 2 if t else 1])
+    assert sorted(map(tuple, held.postings.collect())) == [w for w in want if w]
+    assert held.totals.first()["n"] == 200 and abs(held.totals.first()["avgdl"] - len(want) / 200) < 1e-12
+    ours = {r["id"]: r["s"] for r in index.bm25(held, ["load1", "user"]).groupBy("id").agg(F.sum("score").alias("s")).collect()}
+    theirs = {r["id"]: r["score"] for r in lexical.bm25(files_.select("id", "text"), ["load1", "user"]).collect()}
+    assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 1e-9 for k in ours)
+
+
 def test_retrieve_adds_named_files_and_reranks(spark):
     from packwright.functions import udfs
     from packwright.operators import retrieval
