@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.functions.text import lexical_terms
+from packwright.functions.words import inverted, opened
+from packwright.sources.shared import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """id, term, dl: terms are distinct in a chunk, so their frequency there is 1."""
-    listed = F.transform(F.array(lexical_terms(F.col("text"))), lambda t: F.transform(t, lambda x: F.struct(F.size(t).alias("dl"), x.alias("term"))))
-    # No list is empty; the outer form keeps the optimizer from making each list again to see that.
-    return chunks.select("id", F.explode_outer(F.get(listed, F.lit(0))).alias("p")).select("id", "p.dl", "p.term")
-
-
 def weighted(idf: Column, dl: Column, avgdl: Column) -> Column:
     """A term's part of the score; terms are distinct in a chunk, so their frequency there is 1."""
     return idf * (K1 + 1) / (1 + K1 * (1 - B + B * dl / avgdl))
@@ -25,17 +19,18 @@ def weighted(idf: Column, dl: Column, avgdl: Column) -> Column:
 def bm25(chunks: DataFrame, query: list[str]) -> DataFrame:
     """id, score for chunks with a term of the query. chunks: id, text.
 
-    A negative idf becomes EPSILON of the mean idf. One pass gives chunk count and mean length, one
-    the vocabulary's document frequencies (partial counts before the shuffle); terms of the query are filtered before any join."""
-    posts = postings(chunks)
-    size = chunks.select(F.size(lexical_terms(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(size)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")  # size is one row
+    A negative idf becomes EPSILON of the mean idf. Texts are split once: that pass leaves counts by term in the shared folder, and the
+    rows of the query's terms; all else is made of these."""
+    runs = cut(inverted(spread(chunks.select("id", "text")), query))
+    df = cut(runs.groupBy("term").agg(F.sum("n").alias("df")))
+    n, held = (F.sum(F.when(which, F.col("df"))) for which in (F.col("term").isNull(), F.col("term").isNotNull()))
+    size = df.agg(n.alias("n"), (held / n).alias("avgdl"))
+    idf = df.where("term is not null").crossJoin(F.broadcast(size)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")  # size is one row
     mean = idf.agg(F.avg("raw").alias("mean"))
     wanted = idf.where(F.col("term").isin(query)).crossJoin(F.broadcast(mean))
     wanted = wanted.select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     weight = weighted(F.col("idf"), F.col("dl"), F.col("avgdl"))
-    return posts.where(F.col("term").isin(query)).join(F.broadcast(wanted), "term").groupBy("id").agg(F.sum(weight).alias("score"))  # at most one row a query term
+    return opened(runs).where(F.col("term").isin(query)).join(F.broadcast(wanted), "term").groupBy("id").agg(F.sum(weight).alias("score"))  # at most one row a query term
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

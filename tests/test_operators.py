@@ -140,6 +140,12 @@ def test_postings_are_runs_by_term(spark, tmp_path):
     assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 1e-9 for k in ours)
 
 
+def test_bm25_splits_texts_once(spark):
+    """What it plans on reads only what its one pass over the texts has left."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    assert "documents.parquet" not in lexical.bm25(texts, ["erin"])._jdf.queryExecution().optimizedPlan().toString() + " ".join(lexical.bm25(texts, ["erin"]).inputFiles())
+
+
 def test_retrieve_adds_named_files_and_reranks(spark):
     from packwright.functions import udfs
     from packwright.operators import retrieval
