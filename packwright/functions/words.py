@@ -67,8 +67,8 @@ def _parts(b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return begin, _strings(np.frombuffer(raw.translate(_SMALL), np.uint8)[kept], end - begin)
 
 
-def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Row and term of what texts hold, each once a row but where a text is longer than a step; a row without any has none."""
+def coded_terms(texts: pa.Array) -> tuple[list[np.ndarray], list[pa.DictionaryArray]]:
+    """By step, row and term of what texts hold, each once a row but where a text is longer than a step; a row without any has none."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
@@ -87,22 +87,28 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
             row = np.searchsorted(offsets, at + np.int64(lo), side="right") - 1
             both = _distinct(row * len(coded.dictionary) + coded.indices.to_numpy())
             rows.append(both // len(coded.dictionary))
-            terms.append(coded.dictionary.take(pa.array(both % len(coded.dictionary))))
+            terms.append(pa.DictionaryArray.from_arrays(pa.array((both % len(coded.dictionary)).astype(np.int32)), coded.dictionary))
         lo = hi
-    return np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.concat_arrays(terms) if terms else pa.array([], pa.string())
+    return rows, terms
+
+
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """coded_terms of all steps together, as text."""
+    rows, terms = coded_terms(texts)
+    return np.concatenate([np.zeros(0, np.int64), *rows]), pa.concat_arrays([pa.array([], pa.string()), *(t.dictionary_decode() for t in terms)])
 
 
-def _inverted(names: list[str], kinds: pa.DataType, only: tuple[str, ...] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    lists, columns = pa.list_(pa.int32()), ["run", "term", "n", "rows", "held"]
+def _inverted(names: list[str], kinds: pa.DataType, only: tuple[str, ...] | None, apart: dict[str, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    lists, columns = pa.list_(pa.int32()), ["run", "term", "n", "rows", "held", *apart]
 
-    def flush(batches: list[pa.RecordBatch], rows: list[np.ndarray], terms: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    def flush(batches: list[pa.RecordBatch], rows: list[np.ndarray], terms: list[pa.DictionaryArray]) -> Iterator[pa.RecordBatch]:
         from pyarrow import compute as pc
 
         held, run = pa.Table.from_batches(batches).combine_chunks(), uuid.uuid4().int >> 65
-        row, term = np.concatenate(rows), pa.concat_arrays(terms)
-        bare = np.setdiff1d(np.arange(len(held)), row)
-        row, term = np.concatenate([row, bare]), pa.concat_arrays([term, pa.array([""] * len(bare), pa.string())])
-        coded = term.dictionary_encode()
+        row = np.concatenate([np.zeros(0, np.int64), *rows])
+        bare = np.flatnonzero(np.bincount(row, minlength=len(held)) == 0)
+        row, empty = np.concatenate([row, bare]), pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(bare), np.int32)), pa.array([""], pa.string()))
+        coded = pa.chunked_array([*terms, empty] if len(bare) else terms).unify_dictionaries().combine_chunks()
         order = pc.sort_indices(coded.dictionary).to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -118,19 +124,21 @@ def _inverted(names: list[str], kinds: pa.DataType, only: tuple[str, ...] | None
             at = row[ends[lo] : ends[hi]][np.repeat(asked[lo:hi], counts[lo:hi])]
             offsets = np.concatenate([[0], np.cumsum(shown)]).astype(np.int32)
             found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at), type=lists)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, run)), words.slice(lo, hi - lo), pa.array(counts[lo:hi]), found, pa.nulls(hi - lo, kinds)], columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, run)), words.slice(lo, hi - lo), pa.array(counts[lo:hi]), found, pa.nulls(hi - lo, kinds), *(pa.nulls(hi - lo, k) for k in apart.values())], columns)
         parts = [pa.concat_arrays(held[n].chunks) for n in names] + [pa.array(np.bincount(row, minlength=len(held)).astype(np.int32))]
         every = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(parts, kinds.value_type, strict=True)], fields=list(kinds.value_type))
-        yield pa.RecordBatch.from_arrays([pa.array([run]), pa.nulls(1, pa.string()), pa.array([len(held)]), pa.nulls(1, lists), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), every, type=kinds)], columns)
+        whole = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), values, type=kind)
+        others = [whole(pa.concat_arrays(held[n].chunks).cast(k.value_type), k) for n, k in apart.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([run]), pa.nulls(1, pa.string()), pa.array([len(held)]), pa.nulls(1, lists), whole(every, kinds), *others], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, terms, n = [], [], [], 0
         for b in batches:
-            row, term = terms_of(b.column("text").fill_null(""))
-            rows.append(row + sum(map(len, held)))
-            terms.append(term)
-            held.append(b.select(names))
-            n += len(row) + len(b)
+            found, term = coded_terms(b.column("text").fill_null(""))
+            rows += [row + sum(map(len, held)) for row in found]
+            terms += term
+            held.append(b.select([*names, *apart]))
+            n += sum(map(len, found)) + len(b)
             if n >= RUN:
                 yield from flush(held, rows, terms)
                 held, rows, terms, n = [], [], [], 0
@@ -140,16 +148,20 @@ def _inverted(names: list[str], kinds: pa.DataType, only: tuple[str, ...] | None
     return run
 
 
-def inverted(rows: DataFrame, only: list[str] | None = None) -> DataFrame:
+def inverted(rows: DataFrame, only: list[str] | None = None, apart: tuple[str, ...] = ()) -> DataFrame:
     """run, term, n, rows, held: runs of rows by term, in order of term within a run; no shuffle. rows: text, and columns to keep with dl (a row's number of terms).
 
     n counts the run's rows with the term, rows are their places. A null term comes once a run: n counts its rows, held has them. only: terms whose
-    rows are asked for, others have none."""
-    names = [c for c in rows.columns if c != "text"]
+    rows are asked for, others have none. apart: columns that are kept as lists of their own beside held, as few readers ask for them."""
+    names = [c for c in rows.columns if c != "text" and c not in apart]
     held = ArrayType(StructType([*(StructField(c, rows.schema[c].dataType) for c in names), StructField("dl", IntegerType())]))
+    others = {c: ArrayType(rows.schema[c].dataType) for c in apart}
     bound_batches(rows.sparkSession)
-    run = _inverted(names, to_arrow_type(held), None if only is None else tuple(only))
-    return rows.mapInArrow(run, StructType().add("run", "long").add("term", "string").add("n", "long").add("rows", ArrayType(IntegerType())).add("held", held))
+    run = _inverted(names, to_arrow_type(held), None if only is None else tuple(only), {c: to_arrow_type(k) for c, k in others.items()})
+    out = StructType().add("run", "long").add("term", "string").add("n", "long").add("rows", ArrayType(IntegerType())).add("held", held)
+    for c, k in others.items():
+        out = out.add(c, k)
+    return rows.mapInArrow(run, out)
 
 
 def opened(runs: DataFrame) -> DataFrame:

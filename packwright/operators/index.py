@@ -29,14 +29,14 @@ class Index:
 def save(files: DataFrame, folder: str) -> None:
     """Write the index of files (id, path, text) below folder, in place of what is there.
 
-    Each text is split once. Postings stay in the task that made them: their files are runs that are sorted by term, one row a term, so a
+    Each text is read once: hashed, and split. Postings stay in the task that made them: their files are runs that are sorted by term, one row a term, so a
     query's terms prune pages and nothing is shuffled but counts by term. The manifest is written last: a folder without one holds no index."""
     spark = files.sparkSession
     write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}")
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     remove(spark, f"{folder}/manifest")
-    write(files.select("path", content_hash(F.col("text")).alias("sha256")), "hashes")  # before the texts are split: what changes between is found stale
-    write(inverted(spread(files.select("id", "path", "text"))), "postings")
+    hashed = spread(files.select("id", "path", "text")).withColumn("sha256", F.unhex(content_hash(F.col("text"))))
+    write(inverted(hashed, apart=("sha256",)), "postings")
     runs = read("postings").select("term", "n")
     write(runs.groupBy("term").agg(F.sum("n").alias("df")), "counts")
     counts = read("counts")
@@ -47,9 +47,9 @@ def save(files: DataFrame, folder: str) -> None:
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     write(raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")).repartitionByRange("term").sortWithinPartitions("term"), "terms")  # one row
-    write(read("hashes"), "manifest")
-    for name in ("hashes", "counts"):
-        remove(spark, f"{folder}/{name}")
+    kept = read("postings").where("term is null").select(F.col("held.path").alias("path"), "sha256").select(F.inline(F.arrays_zip("path", "sha256")))
+    write(kept.select("path", F.lower(F.hex("sha256")).alias("sha256")), "manifest")
+    remove(spark, f"{folder}/counts")
 
 
 def exists(spark: SparkSession, folder: str) -> bool:

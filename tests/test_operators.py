@@ -140,6 +140,26 @@ def test_postings_are_runs_by_term(spark, tmp_path):
     assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 1e-9 for k in ours)
 
 
+def test_index_reads_texts_once(spark, tmp_path):
+    """One pass over the files leaves the hashes of the texts that it split; a null text has the hash of an empty one."""
+    import hashlib
+
+    from packwright.operators import index
+
+    rows = [(k, f"{k}.py", f"user {k} é" if k % 5 else None) for k in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    files_ = spark.createDataFrame(rows, "id int, path string, text string").repartition(3).mapInArrow(read, "id int, path string, text string")
+    index.save(files_, f"file://{tmp_path}/index")
+    assert seen.value == 40
+    assert {tuple(r) for r in index.load(spark, f"file://{tmp_path}/index").manifest.collect()} == {(p, hashlib.sha256((t or "").encode()).hexdigest()) for _, p, t in rows}
+
+
 def test_bm25_splits_texts_once(spark):
     """What it plans on reads only what its one pass over the texts has left."""
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
