@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from packwright.functions import text as X
 from packwright.operators import chunks, domain, fuse, graph, index, lexical, maintain, measures, retrieval, vector
 from packwright.sources import files, sinks
-from packwright.sources.shared import shared_dir, spread, stamp
+from packwright.sources.shared import cut, shared_dir, spread, stamp
 from packwright.streaming import sessions
 
 TERMS = ["erin", "thor", "onea", "reand"]
@@ -73,7 +73,8 @@ def semantic_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def structural(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = documents(spark, sf).select("path", F.length("text").alias("n"))
+    """path, score. Texts are read once; their lengths, which plans ask for again and again, are kept in the shared folder."""
+    sizes = cut(documents(spark, sf).select("path", F.length("text").alias("n")))
     return sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").cast("double").alias("all")))).select("path", (F.col("n") / F.col("all")).alias("score"))  # one row
 
 
@@ -218,9 +219,9 @@ ASKED = retrieval.Query(tokens=(*TERMS, *PATH_TOKENS), folders=("src1",), rules=
 
 def retrieve(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """The words of a document stand for its symbols: those that are asked for, from the saved index."""
-    held = saved_index(spark, sf).postings.where(F.col("term").isin(*ASKED.tokens)).groupBy("path").agg(F.collect_set("term").alias("symbols"))  # at most one a token
+    held = cut(saved_index(spark, sf).postings.where(F.col("term").isin(*ASKED.tokens)).groupBy("path").agg(F.collect_set("term").alias("symbols")))  # at most one a token
     found = documents(spark, sf).select("path").join(held, "path", "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
-    return retrieval.retrieve(semantic_paths(spark, sf), structural(spark, sf), found, ASKED, k)
+    return retrieval.retrieve(cut(semantic_paths(spark, sf)), structural(spark, sf), found, ASKED, k)
 
 
 @query(f"WITH {RETRIEVE} SELECT path, round(score, 6) AS score FROM z4 ORDER BY z4.score DESC, path LIMIT 20")

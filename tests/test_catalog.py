@@ -28,3 +28,10 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_gives_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_retrieve_reads_texts_once(spark):
+    """What is planned on has only lengths of texts, and no scan that asks for a text."""
+    plan = catalog.queries()["retrieve_full"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [x.split("ReadSchema:")[1] for x in plan.splitlines() if "ReadSchema:" in x]
+    assert scans and not any("text:" in x for x in scans)
