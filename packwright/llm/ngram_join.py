@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ LEAST_BLOCK, BLOCKS, CLASS_BLOCK, CLASS_BYTES, COLUMNS = 128, 16, 1024, 8 << 20,
 SALTS = 32
 #: Rows of one key that meet in one task, at least; keys with more are broadcast, and there are at most about HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 256, 1 << 16
+#: Distinct links up to which one task finds their components, in arrays of 16 bytes a link, and rows that it returns at a time.
+ONE_TASK_LINKS, OUT_ROWS = 2_000_000, 1 << 16
 _MULTIPLIERS = np.random.RandomState(1_000_003).randint(0, 2**63, N_HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 FEATURES = "doc_id long, text_hash long, n int, key_a long, key_b long, sig binary, bands array<long>"
 
@@ -63,6 +66,7 @@ def shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"uid": b["uid"], "shingles": [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]})
 
 
+@cache
 def least_matches(threshold: float = THRESHOLD) -> np.ndarray:
     """At each step, the least number of equal MinHash values with which P(similarity >= threshold) is at least TOLERANCE.
 
@@ -225,11 +229,46 @@ def compare_blocks(members: DataFrame, threshold: float, exact: bool) -> DataFra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """uid, comp (its least uid) for the ends of links a < b that aren't the least, by alternating large and small stars.
+    """uid, comp (its least uid) for the ends of distinct links a < b that aren't the least, written to the shared folder.
 
-    Every round is joins and minima over links, written to the shared folder; the driver sees two numbers a round. A node with many
-    neighbours meets them by broadcast (join_hot), not in one task."""
-    edges = materialize(links.select(F.col("a").alias("v"), F.col("b").alias("u")).distinct(), "links")  # v < u
+    Up to ONE_TASK_LINKS links are gathered in one task; more are shuffled in rounds."""
+    few = links.count() <= ONE_TASK_LINKS
+    return materialize(_components_in_a_task(links) if few else _components_by_stars(links), "components")
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes, the least node of its component under the links a, b.
+
+    In each round every root with a lesser neighbour hooks to its least one, so at least half of the roots that still have links go."""
+    label = np.arange(n)
+    while len(a):
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != (up := label[label])).any():
+            label = up
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    return label
+
+
+def _components_in_a_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.stack([x["a"].to_numpy(np.int64), x["b"].to_numpy(np.int64)]) for x in batches]
+        if not held:
+            return
+        uid, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        comp = uid[least_labels(a, b, len(uid))]
+        uid, comp = uid[uid != comp], comp[uid != comp]
+        for k in range(0, len(uid), OUT_ROWS):
+            yield pd.DataFrame({"uid": uid[k : k + OUT_ROWS], "comp": comp[k : k + OUT_ROWS]})
+
+    return links.select("a", "b").coalesce(1).transform(map_pandas, run, "uid long, comp long")
+
+
+def _components_by_stars(links: DataFrame) -> DataFrame:
+    """Alternating large and small stars: every round is joins and minima over links, written to the shared folder; the driver sees two
+    numbers a round. A node with many neighbours meets them by broadcast (join_hot), not in one task."""
+    edges = materialize(links.select(F.col("a").alias("v"), F.col("b").alias("u")), "links")  # v < u
     state = None
     n = edges.count()
     while True:
@@ -334,8 +373,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, with_lin
     worded = feats.where("n > 0 and doc_id is not null")
     of_rows = hot_limit(feats.count())
     first = F.min_by(F.struct("doc_id", "text_hash", "sig", "bands"), F.struct("doc_id", "text_hash"))
-    reps = worded.groupBy("key_a", "key_b").agg(first.alias("r"), F.count(F.lit(1)).alias("n_copies"))
-    reps = materialize(reps.select(F.monotonically_increasing_id().alias("uid"), "key_a", "key_b", "r.*", "n_copies"), "texts")
+    reps = worded.groupBy("key_a", "key_b").agg(first.alias("r"), F.count(F.lit(1)).alias("n_copies"), (F.min("text_hash") != F.max("text_hash")).alias("mixed"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("uid"), "key_a", "key_b", "r.*", "n_copies", "mixed"), "texts")
 
     rows = reps.select("uid", F.explode("bands").alias("bucket"))
     of_bands = hot_limit(BANDS * reps.count())
@@ -347,35 +386,40 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, with_lin
     headed = join_hot(buckets.select("uid", "bucket"), materialize(heads, "heads"), ["bucket"], "size", of_bands)
     headed = materialize(headed.select("uid", F.explode(F.array("head", "other_head")).alias("head")).where("uid != head").distinct(), "headed")
     own = reps.join(members.select("uid"), "uid", "left_semi")
-    wanted = own.select("uid", "doc_id", "text_hash", "n_copies")
+    near = materialize(own.select("uid", "sig", "bands", "doc_id", "text_hash", "n_copies"), "signatures")
+    wanted = near.select("uid", "doc_id", "text_hash", "n_copies")
     sets = join_hot(texts, wanted, ["doc_id", "text_hash"], "n_copies", of_rows, once=True).select("uid", "text")
     sets = materialize(sets.transform(map_pandas, shingle_sets, "uid long, shingles binary"), "sets")
-    near = materialize(own.select("uid", "sig", "bands"), "signatures")
+    near = near.select("uid", "sig", "bands")
 
     links = verify(materialize(prune(headed, near, threshold), "pruned"), sets, threshold)
     links = materialize(links.select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b")).distinct(), "head_links")
-    comps = materialize(components(links), "components")
+    comps = components(links)
     held = with_components(buckets.select("bucket", "uid"), comps)
     open_ = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
     open_ = join_hot(held, materialize(open_.select("bucket", "size"), "open"), ["bucket"], "size", of_bands)
     open_ = open_.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(7)), F.col("blocks")).cast("int"))
+    open_ = materialize(open_, "open_members")
     close = materialize(compare_blocks(open_.join(near.drop("bands"), "uid"), threshold, exact=False), "close")
     more = compare_blocks(open_.join(near.join(close, "uid").join(sets, "uid"), "uid"), threshold, exact=True)
     every = materialize(links.unionByName(more), "all_links")
     if every.count() > links.count():
-        comps = materialize(components(every), "components")
+        comps = components(every)
 
     known = with_components(reps.select("uid", "key_a", "key_b", "doc_id", "n_copies"), comps)
     classes = known.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     known = join_hot(known, classes, ["comp"], "n", of_rows).select("uid", "key_a", "key_b", F.col("doc_id").alias("text_id"), "n_copies", "class_id")
     alone = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("class_id"))
     if with_links:
-        n_texts = worded.select("key_a", "key_b", "text_hash").distinct().groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n_texts"))
-        known = known.join(n_texts, ["key_a", "key_b"])
+        mixed = reps.where("mixed").select("uid", "key_a", "key_b", "n_copies")
+        mixed = join_hot(worded.select("key_a", "key_b", "text_hash"), mixed, ["key_a", "key_b"], "n_copies", of_rows)
+        mixed = materialize(mixed.groupBy("uid").agg(F.count_distinct("text_hash").alias("n_texts")), "mixed")
+        n_texts = F.coalesce("n_texts", F.lit(1).cast("long"))  # sets that are not mixed are of one text
         ends = every.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        linked = with_components(ends, comps).join(known.select("uid", "n_texts"), "uid").join(sets, "uid")
+        linked = with_components(ends, comps).join(mixed, "uid", "left").withColumn("n_texts", n_texts).join(sets, "uid")
         counts = count_links(materialize(linked, "linked"), threshold)
-        known = known.join(counts, "uid", "left").withColumn("n_links", F.col("n_texts") - 1 + F.coalesce("n_links", F.lit(0).cast("long"))).drop("n_texts")
+        known = known.join(mixed, "uid", "left").join(counts, "uid", "left")
+        known = known.withColumn("n_links", n_texts - 1 + F.coalesce("n_links", F.lit(0).cast("long"))).drop("n_texts")
         alone = alone.withColumn("n_links", F.lit(0).cast("long"))
     found = join_hot(worded.select("doc_id", "key_a", "key_b"), materialize(known.drop("uid"), "known"), ["key_a", "key_b"], "n_copies", of_rows).drop("key_a", "key_b")
     return found.unionByName(alone)

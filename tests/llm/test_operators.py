@@ -115,6 +115,44 @@ def test_counts_by_columns(monkeypatch):
     assert (ngram_join.similar_counts(packed, left, right, 0.8) == want).all()
 
 
+def random_links():
+    """A path, a star, a cycle and random links, with ids far apart: links, and the least id of each end's component."""
+    rng = random.Random(5)
+    names = [k * 10_000_019 for k in rng.sample(range(10**6), 400)]
+    pairs = [*zip(names[:90], names[1:90]), *((names[90], x) for x in names[91:200]), *zip(names[200:230], [*names[201:230], names[200]]), *(rng.sample(names[230:], 2) for _ in range(120))]
+    links = sorted({(min(p), max(p)) for p in pairs})
+    least = {x: x for p in links for x in p}
+    while moved := [p for p in links if least[p[0]] != least[p[1]]]:
+        for a, b in moved:
+            least[a] = least[b] = min(least[a], least[b])
+    return links, {x: c for x, c in least.items() if x != c}
+
+
+@pytest.mark.parametrize("one_task, jobs", [(2_000_000, 4), (0, None)])
+def test_components_of_few_links_take_no_rounds_of_jobs(spark, one_task, jobs, monkeypatch):
+    """In one task and by stars the same components; a few links are not shuffled over all partitions round by round."""
+    monkeypatch.setattr(ngram_join, "ONE_TASK_LINKS", one_task, raising=False)
+    monkeypatch.setattr(ngram_join, "OUT_ROWS", 7, raising=False)
+    links, want = random_links()
+    made = common.materialize(spark.createDataFrame(links, "a long, b long"), "test_links")
+    spark.sparkContext.setJobGroup(f"components {one_task}", "")
+    found = ngram_join.components(made)
+    ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {one_task}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["uid"]: r["comp"] for r in found.collect()} == want
+    assert ran and (jobs is None or ran <= jobs)
+    assert ngram_join.components(made.limit(0)).count() == 0
+
+
+def test_pruning_table_is_made_once(monkeypatch):
+    made, comb = [], math.comb
+    monkeypatch.setattr(ngram_join.math, "comb", lambda n, k: made.append(n) or comb(n, k))
+    a = np.zeros((1, ngram_join.N_HASHES))
+    for _ in range(3):
+        ngram_join.survivors(a, a, 0.8125)
+    assert len(made) < 2 * sum(ngram_join.least_matches(0.8125) + 1)
+
+
 def test_star_of_variants_is_one_class(spark):
     """Variants that are near the base, but not each other."""
     base = [f"b{k}" for k in range(200)]
