@@ -30,6 +30,8 @@ SALTS = 32
 HOT_ROWS, HOT_KEYS = 256, 1 << 16
 #: Distinct links up to which one task finds their components, in arrays of 16 bytes a link, and rows that it returns at a time.
 ONE_TASK_LINKS, OUT_ROWS = 2_000_000, 1 << 16
+#: Bits of the table by which rows without a key are left out before a join, for each key, and bits of the largest table (32 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 28
 _MULTIPLIERS = np.random.RandomState(1_000_003).randint(0, 2**63, N_HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 FEATURES = "doc_id long, text_hash long, n int, key_a long, key_b long, sig binary, bands array<long>"
 
@@ -122,6 +124,19 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str, limit:
     return found.dropDuplicates(keys).unionByName(rest.dropDuplicates(keys)) if once else found.unionByName(rest)
 
 
+def with_known_hash(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Rows of left whose hash in column may be one of right, so that few others are shuffled by a join that follows. None that joins is lost.
+
+    The hashes of right are bits of a table of KEY_BITS bits a row, MOST_BITS at most, which is broadcast in rows of 4 KB."""
+    bits = min(MOST_BITS, max(1, KEY_BITS * right.count()))
+    place = F.pmod(F.col(column), F.lit(bits)) + 1
+    table = right.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = left.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(table), "part")
+    return marked.where(F.getbit(byte, at % 8) == 1).select(left.columns)
+
+
 def star_pairs(headed: DataFrame, payload: DataFrame, column: str, close: Callable[[np.ndarray, np.ndarray, list], np.ndarray]) -> DataFrame:
     """The pairs uid, head of headed that close() accepts. payload: uid and the column to compare.
 
@@ -388,7 +403,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, with_lin
     own = reps.join(members.select("uid"), "uid", "left_semi")
     near = materialize(own.select("uid", "sig", "bands", "doc_id", "text_hash", "n_copies"), "signatures")
     wanted = near.select("uid", "doc_id", "text_hash", "n_copies")
-    sets = join_hot(texts, wanted, ["doc_id", "text_hash"], "n_copies", of_rows, once=True).select("uid", "text")
+    sets = join_hot(with_known_hash(texts, wanted, "text_hash"), wanted, ["doc_id", "text_hash"], "n_copies", of_rows, once=True).select("uid", "text")
     sets = materialize(sets.transform(map_pandas, shingle_sets, "uid long, shingles binary"), "sets")
     near = near.select("uid", "sig", "bands")
 

@@ -144,6 +144,19 @@ def test_components_of_few_links_take_no_rounds_of_jobs(spark, one_task, jobs, m
     assert ngram_join.components(made.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 28, 1000])
+def test_known_hashes_keep_all_that_join(spark, most, monkeypatch):
+    """Each row with a known hash stays, also when the table is full; with room, few others do."""
+    monkeypatch.setattr(ngram_join, "MOST_BITS", most)
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    left = rows.unionByName(rows.where("id < 10")).unionByName(spark.createDataFrame([(-1, None), (-2, -(2**63)), (-3, 2**63 - 1)], "id long, h long"))
+    right = left.where("id % 10 = 0 or id < -1").select("h").distinct()
+    got = ngram_join.with_known_hash(left, right, "h")
+    assert got.columns == left.columns
+    assert got.join(right, "h").count() == left.join(right, "h").count() == 2003
+    assert got.count() < 4_000 or most == 1000
+
+
 def test_pruning_table_is_made_once(monkeypatch):
     made, comb = [], math.comb
     monkeypatch.setattr(ngram_join.math, "comb", lambda n, k: made.append(n) or comb(n, k))
