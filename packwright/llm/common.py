@@ -18,6 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes of one Arrow batch: very long texts must not add up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
+#: How files below a shared folder of scheme file are written: without a checksum file beside each, as Hadoop starts one process more (chmod) for each of those.
+#: Parquet's own checksums of pages are verified instead, whatever the scheme.
+LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +73,8 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     This cuts the lineage with files that outlive any executor."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(compression=codec, **LOCAL_FILES).parquet(path)
+    return spark.read.options(**VERIFIED).schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -157,6 +157,24 @@ def test_known_hashes_keep_all_that_join(spark, most, monkeypatch):
     assert got.count() < 4_000 or most == 1000
 
 
+def test_shared_files_have_no_files_beside_them_and_are_still_verified(spark, monkeypatch):
+    """One process start less for each file; a byte that changed in a page is found by Parquet's checksum."""
+    seen = []
+    monkeypatch.setattr(common, "new_path", lambda s, label, f=common.new_path: (seen.append(f(s, label)), seen[-1])[1])
+    rows = spark.range(0, 4000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    made = common.materialize(rows, "test_files", "uncompressed")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect()))
+    folder = Path(urlsplit(seen[0]).path)
+    assert not list(folder.glob(".*.crc"))
+    parts = sorted(folder.glob("part-*"))
+    assert len(parts) == 4
+    data = bytearray(parts[0].read_bytes())
+    data[data.index(made.where("id = 7").first()["text"].encode()) + 5] ^= 1
+    parts[0].write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        common.materialize(made, "test_again").collect()
+
+
 def test_pruning_table_is_made_once(monkeypatch):
     made, comb = [], math.comb
     monkeypatch.setattr(ngram_join.math, "comb", lambda n, k: made.append(n) or comb(n, k))
